@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["topn", "components", "packing", "leaks", "splits", "neighbours", "clusters", "languages"]
+MODULES = ["topn", "components", "packing", "leaks", "splits", "neighbours", "clusters", "languages", "ocr"]
 
 
 def _gather(what: str) -> dict:
