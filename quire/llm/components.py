@@ -47,8 +47,8 @@ def hash_to_min(links: DataFrame, a: str, b: str, hot_rows: int = HOT_ROWS) -> D
 
 def match_links(rows: DataFrame, least_score: float) -> DataFrame:
     """Links (a, b) of rows with a score of at least least_score; null and NaN scores link nothing."""
-    score = F.col("similarity_score")
-    return rows.filter(~F.isnan(score) & (score >= least_score)).select(
+    score = F.coalesce(F.when(~F.isnan("similarity_score"), F.col("similarity_score")), F.lit(float("-inf")))
+    return rows.filter(score >= least_score).select(
         blank_to_null("query_manuscript_id").alias("a"), blank_to_null("neighbor_manuscript_id").alias("b")
     )
 
