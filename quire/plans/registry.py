@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["skewed_keys"]
+MODULES = ["skewed_keys", "relational"]
 FLAGSHIP = "p1_found"
 
 
