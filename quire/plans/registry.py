@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["skewed_keys", "relational"]
-FLAGSHIP = "p1_found"
+MODULES = ["skewed_keys", "relational", "retrieval"]
+FLAGSHIP = "j13_knn_overall"
 
 
 def _gather(what: str) -> dict:
