@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["skewed_keys", "relational", "retrieval"]
+MODULES = ["skewed_keys", "relational", "retrieval", "graphs"]
 FLAGSHIP = "j13_knn_overall"
 
 
