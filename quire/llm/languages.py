@@ -35,9 +35,9 @@ _NAMES = {
 _OF_NAME = {n: lang for lang, names in _NAMES.items() for n in names.split()}
 _NONE = {"", "und", "unknown", "mul", "zxx", "mis", "none", "null", "n/a", "na", "?", "??", "???", "-"}
 
-_FORMAT = dict.fromkeys([*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0x2060, 0xAD])
+_FORMAT = re.compile("[\u200b-\u200f\u202a-\u202e\u2060\u2066-\u2069\xad]")
 _WORD = re.compile(r"[^\W\d_]+")
-_MARK = re.compile(r"\b[A-Z]{1,5}-[A-Z]*\d[\w.]*|\w*\d\w*")
+_MARK = re.compile(r"[A-Z]{2,5}-[A-Z]*\d[\w.]*|\d+")
 _QUOTE = re.compile(r"“[^”]{0,400}”|«[^»]{0,400}»|„[^“”]{0,400}[“”]|\"[^\"\n]{0,400}\"")
 _HEAD = re.compile(r"[^\W\d_]+(?: [^\W\d_]+){0,2}: ?\S+(?: \S+){0,2}|\S*\d\S*")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-¬‐]\n(?=[^\W\d_])|(?<=[^\W\d_])\xad\n(?=[^\W\d_])")
@@ -68,8 +68,9 @@ def sentences(text: str) -> list[tuple[int, int, str, bool]]:
             lines = piece.split("\n")
             while lines and (not lines[0].strip() or _HEAD.fullmatch(lines[0].strip())):
                 lines.pop(0)
-            body = "\n".join(lines)
-            body = _BROKEN.sub("", body).translate(_FORMAT)
+            body = _BROKEN.sub("", "\n".join(lines)) if len(lines) > 1 else "".join(lines)
+            if not body.isascii():
+                body = _FORMAT.sub("", body)
             out.append((start, end, _MARK.sub(" ", body), marked))
         start = end
     return out
@@ -106,15 +107,20 @@ class Labeller:
         """For each text its sentences as (start, end, language, confidence, words, whole)."""
         split = [[(a, b, words_in(t), whole) for a, b, t, whole in sentences(x)] if x else [] for x in texts]
         self.learn({w for s in split for p in s for w in p[2]})
-        out = []
+        flat = [p for s in split for p in s]
+        sizes = np.array([len(p[2]) for p in flat], dtype=np.int64)
+        at = np.fromiter((self.known[w] for p in flat for w in p[2]), dtype=np.int64, count=int(sizes.sum()))
+        sums = np.zeros((len(flat), len(LANGS) + 1))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            sums[some] = np.add.reduceat(self.logs[at], (np.cumsum(sizes) - sizes)[some], axis=0)
+        scores = sums[:, :-1] - sums[:, :-1].max(axis=1, keepdims=True)
+        best = scores.argmax(axis=1).tolist()
+        conf = (1 / np.exp(scores).sum(axis=1)).tolist()
+        words, out, i = sums[:, -1].tolist(), [], 0
         for parts in split:
-            rows = []
-            for a, b, words, whole in parts:
-                s = self.logs[[self.known[w] for w in words]].sum(axis=0) if words else np.zeros(len(LANGS) + 1)
-                e = np.exp(s[:-1] - s[:-1].max())
-                best = int(e.argmax())
-                rows.append((a, b, best, float(e[best] / e.sum()), float(s[-1]), whole))
-            out.append(rows)
+            out.append([(p[0], p[1], best[i + k], conf[i + k], words[i + k], p[3]) for k, p in enumerate(parts)])
+            i += len(parts)
         return out
 
 
