@@ -77,7 +77,8 @@ def ensemble(a: str | Column, b: str | Column) -> Column:
 def weighted_concat(parts: list[tuple[str | Column, float]]) -> Column:
     """Branches times the root of their renormalised weight, one after the other, at unit length."""
     total = sum(w for _, w in parts)
-    return unit(F.concat(*[F.transform(doubles(c), lambda x, w=w: x * F.lit((w / total) ** 0.5)) for c, w in parts]))
+    scaled = lambda c, by: F.transform(doubles(c), lambda x: x * F.lit(by))
+    return unit(F.concat(*[scaled(c, (w / total) ** 0.5) for c, w in parts]))
 
 
 def fuse(scores: list[tuple[str | Column, float]]) -> Column:
