@@ -140,7 +140,7 @@ def overlap_share(tiles: DataFrame, regions: DataFrame, page: str, size: int) ->
     w = F.least(F.col("left") + size, "rr") - F.greatest("left", "rl")
     h = F.least(F.col("top") + size, "rb") - F.greatest("top", "rt")
     area = near.filter((w > 0) & (h > 0)).groupBy(page, "top", "left").agg(F.sum(w * h).alias("a"))
-    share = F.coalesce(F.least(F.col("a") / (size * size), F.lit(1.0)), F.lit(0.0))
+    share = F.least(F.coalesce(F.col("a"), F.lit(0.0)) / (size * size), F.lit(1.0))
     return tiles.select(page, "top", "left").join(area, [page, "top", "left"], "left").select(page, "top", "left", share.alias("share"))
 
 

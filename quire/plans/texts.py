@@ -281,7 +281,7 @@ def v18_root_sift(spark, d):
     return t(spark, d, "embeddings").select("vec_id", F.round(V.root_sift("embedding")[0], 6).alias("first"))
 
 
-@query("SELECT word, lang, list_sum(list_transform(range(1, length(word) + 1), lambda i: i * unicode(substr(word, i, 1)))) % 1000003 AS h FROM word_list")
+@query("SELECT word, lang, list_sum(list_transform(range(1, length(word) + 1), lambda i: i * unicode(substr(word, i, 1))))::BIGINT % 1000003 AS h FROM word_list")
 def v23_text_hash(spark, d):
     h = F.aggregate(F.transform(F.split("word", ""), lambda x, i: (i + 1) * F.ascii(x).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x) % 1000003
     return t(spark, d, "word_list").select("word", "lang", h.alias("h"))
