@@ -32,7 +32,7 @@ def nearest(base: DataFrame, k: int, min_similarity: float, list_rows: int = LIS
     posted = post(base, index, REPLICAS, PROBES, REPLICA_RATIO, PROBE_RATIO)
     arrow = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("score", pa.float64()), ("n", pa.int64())])
 
-    def work(t: Block, q: Block) -> list[np.ndarray] | None:
+    def work(t: Block, q: Block, lst: int) -> list[np.ndarray] | None:
         s = q.u32 @ t.u32.T
         if s.shape[1] > want:
             floor = np.maximum(np.partition(s, -want, axis=1)[:, -want] - 2e-6, min_similarity - 1e-6)

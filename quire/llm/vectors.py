@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 #: Rows per list on average, and the most lists (64 floats each: at most 16 MB are sent to the tasks).
 LIST_ROWS, MOST_LISTS = 128, 65_536
 #: Rows the index is fitted on: at least so many, four for each list, and never more than MOST_SAMPLE. All rows are indexed.
-SAMPLE, MOST_SAMPLE = 16_384, 262_144
+SAMPLE, MOST_SAMPLE = 65_536, 262_144
+#: Sample rows against which the density of all sample rows is counted.
+DENSITY_ROWS = 16_384
 #: Targets of one block; a longer list is divided into shards that every query of the list visits.
 BLOCK_ROWS = 4096
 #: Leaders are at most so similar to one another.
@@ -100,15 +102,16 @@ def fit(sample: np.ndarray, rows: int, near: float, balance: bool, list_rows: in
     x = unit(sample).astype(np.float32) if len(sample) else np.eye(1, 64, dtype=np.float32)
     lists = int(min(MOST_LISTS, max(8, -(-rows // list_rows)), len(x)))
     density = np.zeros(len(x), dtype=np.int64)
+    some = x[:: max(1, len(x) // DENSITY_ROWS)]
     for i in range(0, len(x), 2048):
-        density[i : i + 2048] = np.count_nonzero(x[i : i + 2048] @ x.T >= near, axis=1)
+        density[i : i + 2048] = np.count_nonzero(x[i : i + 2048] @ some.T >= near, axis=1)
     taken = np.empty((lists, x.shape[1]), dtype=np.float32)
     n, spare = 0, []
     for i in np.argsort(-density, kind="stable"):
         if n == lists:
             break
         if n and (taken[:n] @ x[i]).max() > SPREAD:
-            if density[i] == 1:
+            if density[i] <= 1:
                 spare.append(i)
             continue
         taken[n] = x[i]
@@ -149,8 +152,8 @@ def fit_index(base: DataFrame, near: float, balance: bool, list_rows: int = LIST
     return fit(found.values.to_numpy(zero_copy_only=False).reshape(-1, dim), rows, near, balance, list_rows, block_rows)
 
 
-BLOCK_SCHEMA = "lst int, shard int, role int, k1 bigint, k2 int, w bigint, ids array<bigint>, x1 bigint, vec binary"
-_ARROW = pa.schema([("lst", pa.int32()), ("shard", pa.int32()), ("role", pa.int32()), ("k1", pa.int64()), ("k2", pa.int32()), ("w", pa.int64()), ("ids", pa.list_(pa.int64())), ("x1", pa.int64()), ("vec", pa.binary())])
+BLOCK_SCHEMA = "lst int, shard int, role int, k1 bigint, k2 int, w bigint, ids array<bigint>, x1 bigint, stored int, lists binary, vec binary"
+_ARROW = pa.schema([("lst", pa.int32()), ("shard", pa.int32()), ("role", pa.int32()), ("k1", pa.int64()), ("k2", pa.int32()), ("w", pa.int64()), ("ids", pa.list_(pa.int64())), ("x1", pa.int64()), ("stored", pa.int32()), ("lists", pa.binary()), ("vec", pa.binary())])
 
 
 def _floats(column: pa.Array) -> np.ndarray:
@@ -158,12 +161,17 @@ def _floats(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def _rows_as_bytes(x: np.ndarray) -> pa.Array:
+    step = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * step).tobytes()), pa.py_buffer(x.tobytes())])
+
+
 def post(base: DataFrame, index: Centroids, replicas: int, probes: int, replica_ratio: float, probe_ratio: float, extra: str | None = None) -> DataFrame:
     """Rows of BLOCK_SCHEMA: every different vector of a batch in the lists it is stored in or searches.
 
     role 0: stored in the list and searches it; 1: searches it. A vector is stored in its nearest list and, up to
     `replicas`, in those whose centroid is no further than replica_ratio times the nearest; it searches up to `probes`
-    lists within probe_ratio. Copies in a batch become one row with their number w and their HELD_IDS smallest ids.
+    lists within probe_ratio. lists holds its lists, nearest first, of which it is stored in the first `stored`. Copies in a batch become one row with their number w and their HELD_IDS smallest ids.
     extra: a column of base that goes along as x1. Distances are those between unit vectors.
     """
     sent = base.sparkSession.sparkContext.broadcast(index)
@@ -203,11 +211,12 @@ def post(base: DataFrame, index: Centroids, replicas: int, probes: int, replica_
             offsets = np.concatenate([[0], np.cumsum(held)])
             inner = np.arange(offsets[-1]) - np.repeat(offsets[:-1], held) + np.repeat(starts[at], held)
             data = np.ascontiguousarray(vec[r], dtype=np.float32)
+            ways = np.ascontiguousarray(lists[at], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(lst, pa.int32()), pa.array(shard, pa.int32()), pa.array(role, pa.int32()), pa.array(k1[r], pa.int64()), pa.array(k2[r], pa.int32()), pa.array(w[at], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[order[inner]], pa.int64())), pa.array(x1[r], pa.int64()),
-                    pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer((np.arange(len(r) + 1, dtype=np.int32) * data.shape[1] * 4).tobytes()), pa.py_buffer(data.tobytes())]),
+                    pa.array(store.sum(axis=1)[at], pa.int32()), _rows_as_bytes(ways), _rows_as_bytes(data),
                 ],
                 schema=_ARROW,
             )
@@ -227,33 +236,49 @@ class Block:
     ids: list[np.ndarray]
     raw: np.ndarray
     role: np.ndarray
+    stored: np.ndarray
+    lists: np.ndarray
 
     def __post_init__(self):
         self.u64 = unit(self.raw)
         self.u32 = self.u64.astype(np.float32)
 
     def part(self, where: np.ndarray) -> "Block":
-        return Block(self.k1[where], self.k2[where], self.w[where], self.x1[where], [self.ids[i] for i in where], self.raw[where], self.role[where])
+        return Block(self.k1[where], self.k2[where], self.w[where], self.x1[where], [self.ids[i] for i in where], self.raw[where], self.role[where], self.stored[where], self.lists[where])
 
 
 def _block(pieces: list[tuple]) -> Block:
     """Join pieces of sorted rows and collapse rows of the same vector, adding w and joining ids."""
-    k1, k2, w, x1, raw, role = (np.concatenate([p[i] for p in pieces]) for i in (0, 1, 2, 3, 5, 6))
+    k1, k2, w, x1, raw, role, stored, lists = (np.concatenate([p[i] for p in pieces]) for i in (0, 1, 2, 3, 5, 6, 7, 8))
     ids = [x for p in pieces for x in p[4]]
     order = np.lexsort((k2, k1))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
     starts = np.flatnonzero(new)
     if len(starts) == len(order):
-        return Block(k1[order], k2[order], w[order], x1[order], [ids[i] for i in order], raw[order], role[order])
+        return Block(k1[order], k2[order], w[order], x1[order], [ids[i] for i in order], raw[order], role[order], stored[order], lists[order])
     ends = np.append(starts[1:], len(order))
     first = order[starts]
     joined = [ids[order[a]] if b - a == 1 else np.sort(np.concatenate([ids[j] for j in order[a:b]]))[:HELD_IDS] for a, b in zip(starts, ends)]
-    return Block(k1[first], k2[first], np.add.reduceat(w[order], starts), x1[first], joined, raw[first], role[first])
+    return Block(k1[first], k2[first], np.add.reduceat(w[order], starts), x1[first], joined, raw[first], role[first], stored[first], lists[first])
+
+
+def met_before(q: Block, t: Block, at: np.ndarray, to: np.ndarray, lst: int) -> np.ndarray:
+    """For the pairs q[at], t[to] of a block of list lst: whether an earlier list of the query also stores the target."""
+    place = (q.lists == lst).argmax(axis=1)[at]
+    out = np.zeros(len(at), dtype=bool)
+    for i in range(q.lists.shape[1]):
+        here = np.flatnonzero(place > i)
+        if not len(here):
+            break
+        a, b = at[here], to[here]
+        same = (t.lists[b] == q.lists[a, i][:, None]) & (np.arange(t.lists.shape[1])[None, :] < t.stored[b][:, None])
+        out[here] |= same.any(axis=1)
+    return out
 
 
-def block_join(posted: DataFrame, work: Callable[[Block, Block], list[np.ndarray] | None], schema: str, arrow: pa.Schema, with_ids: bool) -> DataFrame:
-    """Apply work(targets, queries) to every block; the targets, which search their own list too, come as queries first.
+def block_join(posted: DataFrame, work: Callable[[Block, Block, int], list[np.ndarray] | None], schema: str, arrow: pa.Schema, with_ids: bool) -> DataFrame:
+    """Apply work(targets, queries, list) to every block; the targets, which search their own list too, come as queries first.
 
     One shuffle by (list, shard); a task sees its blocks sorted, holds the targets of one block (bounded by the
     shards) and meets the queries batch by batch.
@@ -272,7 +297,8 @@ def block_join(posted: DataFrame, work: Callable[[Block, Block], list[np.ndarray
             lengths = held.value_lengths().to_numpy()
             first = held.flatten().to_numpy()[np.cumsum(lengths) - lengths]
             ids = list(first[:, None])
-        return k1, k2, w, x1, ids, raw, role
+        ways = np.frombuffer(b"".join(part.column(part.schema.get_field_index("lists")).to_pylist()), dtype=np.int32).reshape(len(vec), -1)
+        return k1, k2, w, x1, ids, raw, role, part.column(part.schema.get_field_index("stored")).to_numpy(), ways
 
     def run(batches: Iterator[pa.RecordBatch]):
         now, held, targets, last = None, [], None, None
@@ -281,7 +307,7 @@ def block_join(posted: DataFrame, work: Callable[[Block, Block], list[np.ndarray
             made = []
             for i in range(0, len(q.k1), 1024):
                 part = q if len(q.k1) <= 1024 else q.part(np.arange(i, min(i + 1024, len(q.k1))))
-                out = work(targets, part)
+                out = work(targets, part, int(now[0]))
                 if out is not None and len(out[0]):
                     made.append(pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow)], schema=arrow))
             return made
