@@ -109,21 +109,24 @@ def ranks_of_relevant(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     grid = _grid(rows.join(wanted, "item").select("item", "vec", "wanted"), block, False)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, t = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-        out = {"query": [], "relevant": [], "score": [], "ahead": []}
+        q, t = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1].sort_values("item")
+        out = [pd.DataFrame({"query": [], "relevant": [], "score": [], "ahead": []})]
         if len(q) and len(t):
             ids = t["item"].to_numpy()
-            s = _matrix(q["vec"]) @ _matrix(t["vec"]).T
+            s = np.round(_matrix(q["vec"]) @ _matrix(t["vec"]).T, 12)
             for row, item, wanted in zip(s, q["item"].to_numpy(), q["wanted"]):
-                row = np.round(row, 12)
-                for w in wanted:
-                    score = round(w["score"], 12)
-                    ahead = ((row > score) | ((row == score) & (ids < w["r_item"]))) & (ids != item)
-                    out["query"].append(item)
-                    out["relevant"].append(w["r_item"])
-                    out["score"].append(w["score"])
-                    out["ahead"].append(int(ahead.sum()))
-        return pd.DataFrame(out)
+                score, rel = np.round([w["score"] for w in wanted], 12), np.array([w["r_item"] for w in wanted])
+                order = np.argsort(-row, kind="stable")
+                low, by_id = -row[order], ids[order]
+                first, last = np.searchsorted(low, -score, "left"), np.searchsorted(low, -score, "right")
+                ahead = first.copy()
+                for i in np.flatnonzero(last > first):
+                    ahead[i] += np.searchsorted(by_id[first[i] : last[i]], rel[i], "left")
+                me = np.flatnonzero(ids == item)
+                if len(me):
+                    ahead -= (row[me[0]] > score) | ((row[me[0]] == score) & (item < rel))
+                out.append(pd.DataFrame({"query": item, "relevant": rel, "score": score, "ahead": ahead}))
+        return pd.concat(out)
 
     counted = grid.groupBy("_q", "_t").applyInPandas(work, "query bigint, relevant bigint, score double, ahead bigint")
     return counted.groupBy("query", "relevant").agg(F.first("score").alias("score"), (F.sum("ahead") + 1).alias("rank"))
