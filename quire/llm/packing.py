@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.llm.differencing import pack
-from quire.session import table
+from quire.session import cut, table
 
 CAPACITY = 2048
 #: Items that are packed together in one task; more items make more shards, each with its own containers.
@@ -33,6 +33,7 @@ def pack_items(items: DataFrame, item_id: str, size: str, capacity: int = CAPACI
     leaves at most about one window unfilled, so the loss does not grow with the data.
     """
     sized = items.select(F.col(item_id).alias("item"), F.col(size).cast("bigint").alias("size")).filter("size > 0")
+    sized = cut(sized, "sizes")  # counted once, whatever counts the tokens
     full = F.floor(F.col("size") / capacity).cast("bigint")
     rest = F.col("size") % capacity
     sized = sized.withColumn("pieces", full + F.when(rest > 0, 1).otherwise(0))
