@@ -13,6 +13,11 @@ def doubles(c: str | Column) -> Column:
     return col(c).cast("array<double>")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once per row; inside a lambda over elements it would be computed for each."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -23,8 +28,7 @@ def norm(c: str | Column) -> Column:
 
 def unit(c: str | Column, floor: float = 1e-12) -> Column:
     """Divided by its length, at least floor."""
-    n = F.greatest(norm(c), F.lit(floor))
-    return F.transform(doubles(c), lambda x: x / n)
+    return let(F.greatest(norm(c), F.lit(floor)), lambda n: F.transform(doubles(c), lambda x: x / n))
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
@@ -93,13 +97,13 @@ def root_sift(c: str | Column) -> Column:
     """L1 at 1, square roots, L2 at 1."""
     v = doubles(c)
     total = F.greatest(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x)), F.lit(1e-12))
-    return unit(F.transform(v, lambda x: F.sqrt(F.abs(x) / total)))
+    return unit(let(total, lambda n: F.transform(v, lambda x: F.sqrt(F.abs(x) / n))))
 
 
 def softmax(c: str | Column, temperature: float = 1.0) -> Column:
     v = F.transform(doubles(c), lambda x: x / temperature)
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    e = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return let(e, lambda p: let(F.aggregate(p, F.lit(0.0), lambda s, y: s + y), lambda n: F.transform(p, lambda x: x / n)))
 
 
 def nearest_bucket(c: str | Column, buckets: list[float]) -> Column:

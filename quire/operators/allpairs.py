@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.vectors import unit, valid
+from quire.session import cut
 
 BLOCK = 4096
 
@@ -101,12 +102,19 @@ def ranks_of_relevant(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     The direct form without a pair table: each block counts, for the scores of a query's relevant items, the items
     that come before (higher score, or the same and a smaller id); the counts are added over the blocks.
     """
-    rel = rows.select(F.col("item").alias("r_item"), F.col("vec").alias("r_vec"), "label")
-    from quire.functions.vectors import dot
 
-    pairs = rows.join(rel, "label").filter("item <> r_item").select("item", "r_item", dot("vec", "r_vec").alias("score"))
-    wanted = pairs.groupBy("item").agg(F.collect_list(F.struct("score", "r_item")).alias("wanted"))
-    grid = _grid(rows.join(wanted, "item").select("item", "vec", "wanted"), block, False)
+    def same_label(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, t = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        if not len(q) or not len(t):
+            return pd.DataFrame({"item": [], "r_item": [], "score": []})
+        a, b = q["item"].to_numpy(), t["item"].to_numpy()
+        i, j = np.nonzero((q["label"].to_numpy()[:, None] == t["label"].to_numpy()[None, :]) & (a[:, None] != b[None, :]))
+        return pd.DataFrame({"item": a[i], "r_item": b[j], "score": np.einsum("ij,ij->i", _matrix(q["vec"])[i], _matrix(t["vec"])[j])})
+
+    pairs = _grid(rows.select("item", "vec", "label"), block, False).groupBy("_q", "_t").applyInPandas(same_label, "item bigint, r_item bigint, score double")
+    wanted = pairs.groupBy("item").agg(F.collect_list(F.struct("score", "r_item")).alias("w"))
+    wanted = wanted.select("item", F.col("w.score").alias("scores"), F.col("w.r_item").alias("others"))
+    grid = _grid(cut(rows.join(wanted, "item").select("item", "vec", "scores", "others"), "wanted"), block, False)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         q, t = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1].sort_values("item")
@@ -114,8 +122,8 @@ def ranks_of_relevant(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         if len(q) and len(t):
             ids = t["item"].to_numpy()
             s = np.round(_matrix(q["vec"]) @ _matrix(t["vec"]).T, 12)
-            for row, item, wanted in zip(s, q["item"].to_numpy(), q["wanted"]):
-                score, rel = np.round([w["score"] for w in wanted], 12), np.array([w["r_item"] for w in wanted])
+            for row, item, score, rel in zip(s, q["item"].to_numpy(), q["scores"], q["others"]):
+                score = np.round(score, 12)
                 order = np.argsort(-row, kind="stable")
                 low, by_id = -row[order], ids[order]
                 first, last = np.searchsorted(low, -score, "left"), np.searchsorted(low, -score, "right")
