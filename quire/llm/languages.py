@@ -140,7 +140,7 @@ def fit_labeller(docs: DataFrame, text: str, lang: str, words: DataFrame) -> BiG
     if n > TRAIN_DOCS:
         sample = sample.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1_000_000 * TRAIN_DOCS / n)).limit(2 * TRAIN_DOCS)
     other: dict[str, Counter] = defaultdict(Counter)
-    for row in sample.select(F.substring("t", 1, 4000).alias("t"), "l").toLocalIterator():
+    for row in sample.select("t", "l").toLocalIterator():
         for _, _, t, _ in sentences(row.t):
             for x in words_in(t):
                 if x not in listed:
