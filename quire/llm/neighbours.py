@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quire.llm.vectors import BLOCK_ROWS, HELD_IDS, LIST_ROWS, Block, block_join, fit_index, post, valid_vectors
+from quire.llm.vectors import BLOCK_ROWS, HELD_IDS, LIST_ROWS, Block, block_join, fit_index, post, unit, valid_vectors
 from quire.session import table
 
 #: Lists a vector is stored in and searches at most, and how far beyond the nearest centroid they may be.
 REPLICAS, PROBES, REPLICA_RATIO, PROBE_RATIO = 4, 4, 1.15, 1.3
+#: Different vectors in a block of the exact grid.
+GRID_ROWS = 32_768
 
 
 def nearest(base: DataFrame, k: int, min_similarity: float, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -56,16 +58,93 @@ def nearest(base: DataFrame, k: int, min_similarity: float, list_rows: int = LIS
         return [q.k1[at], q.k2[at], score, ids]
 
     hits = block_join(posted, work, "k1 bigint, k2 int, score double, n bigint", arrow, True)
-    best = hits.groupBy("k1", "k2").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("minus"), "n"))), 1, want).alias("best"))
+    return _of_rows(base, hits, k)
+
+
+def _of_rows(base: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """The k best hits (k1, k2, score, n) of every row of base, itself left out."""
+    best = hits.groupBy("k1", "k2").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("minus"), "n"))), 1, k + 1).alias("best"))
     rows = base.select("id", "k1", "k2").join(best, ["k1", "k2"])
     others = F.slice(F.filter("best", lambda x: x["n"] != F.col("id")), 1, k)
     return rows.select("id", F.transform(others, lambda x: F.struct((-x["minus"]).alias("similarity"), x["n"].alias("id"))).alias("neighbours")).filter(F.size("neighbours") > 0)
 
 
+def _best_hits(at: np.ndarray, ids: np.ndarray, score: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `want` best (score descending, id ascending) of each value of at."""
+    order = np.lexsort((ids, -score, at))
+    at, ids, score = at[order], ids[order], score[order]
+    starts = np.flatnonzero(np.append(True, np.diff(at) != 0)) if len(at) else np.zeros(0, dtype=np.int64)
+    keep = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at)))) < want
+    return at[keep], ids[keep], score[keep]
+
+
+def _reached(s: np.ndarray, want: int) -> np.ndarray:
+    """For each row a value that at least `want` of its columns reach: the want-th of the maxima of groups of columns."""
+    if s.shape[1] <= want:
+        return np.full(len(s), -2, dtype=np.float32)
+    step = min(128, max(1, s.shape[1] // (8 * want)))
+    groups = s.shape[1] // step
+    top = s[:, : groups * step].reshape(len(s), groups, step).max(axis=2)
+    return np.partition(top, -want, axis=1)[:, -want] - 3e-6
+
+
+def nearest_of_all(base: DataFrame, k: int, block: int = GRID_ROWS) -> DataFrame:
+    """nearest() without a floor, exact: every row is compared with every other, so each has k neighbours if there are k others.
+
+    Where no other row is near, the nearest ones are scattered over most lists, so lists do not prune. Different
+    vectors are divided into blocks; a task holds two of them and one product serves the rows of both, in single
+    precision first and in double for what may be among the best. Quadratic in the number of different vectors.
+    """
+    if k > HELD_IDS - 1:
+        raise ValueError(f"k may be at most {HELD_IDS - 1}")
+    want = k + 1
+    place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
+    held = base.withColumn("place", place).filter(F.col("place") <= want).groupBy("k1", "k2").agg(F.first("vec").alias("vec"), F.collect_list("id").alias("ids"))
+    n = max(1, -(-base.count() // block))
+    own = F.pmod(F.xxhash64("k2", "k1"), F.lit(n)).cast("int")
+    placed = held.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    placed = placed.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def work(cell: pa.Table) -> pa.Table:
+        get = lambda c: cell.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        raw = cell.column("vec").combine_chunks()
+        u64 = unit(raw.flatten().to_numpy(zero_copy_only=False).reshape(len(raw), -1))
+        u32, own, low, high = u64.astype(np.float32), get("own"), cell.column("low")[0].as_py(), cell.column("high")[0].as_py()
+        ids = cell.column("ids").combine_chunks()
+        many, ids = ids.value_lengths().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False)
+        first = np.cumsum(many) - many
+        here, there = np.flatnonzero(own == low), np.flatnonzero(own == high)
+
+        def hits(q: np.ndarray, t: np.ndarray, near: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+            for i in range(0, len(near[0]), 200_000):
+                a, b = q[near[0][i : i + 200_000]], t[near[1][i : i + 200_000]]
+                score = np.round(np.einsum("ij,ij->i", u64[a], u64[b]), 6)
+                at, copies = np.repeat(a, many[b]), np.arange(many[b].sum()) - np.repeat(np.cumsum(many[b]) - many[b], many[b])
+                found.append(_best_hits(at, ids[np.repeat(first[b], many[b]) + copies], np.repeat(score, many[b]), want))
+            return _best_hits(*(np.concatenate(x) for x in zip(*found)), want)
+
+        kept, most = [], np.full((want, len(there)), -2, dtype=np.float32)  # most: the largest of groups of rows, for each column
+        for i in range(0, len(here), 512):
+            q = here[i : i + 512]
+            s = u32[q] @ u32[there].T
+            kept.append(hits(q, there, np.nonzero(s >= _reached(s, want)[:, None])))
+            if low != high:
+                top = np.maximum.reduceat(s, np.arange(0, len(q), min(32, max(1, len(q) // want))), axis=0)
+                most = np.partition(np.concatenate([most, top]), -want, axis=0)[-want:]
+                at, to = np.nonzero(s >= most[0] - 3e-6)
+                kept.append(hits(there, q, (to, at)))
+        at, n_id, score = _best_hits(*(np.concatenate(x) for x in zip(*kept)), want)
+        return pa.table({"k1": get("k1")[at], "k2": pa.array(get("k2")[at], pa.int32()), "score": score, "n": n_id})
+
+    cells = placed.groupBy("low", "high").applyInArrow(work, "k1 bigint, k2 int, score double, n bigint")
+    return _of_rows(base, cells, k)
+
+
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each valid page its (up to) five most similar pages with a cosine of 0.85 or more."""
+    """For each valid page its five most similar pages, however similar they are."""
     base = valid_vectors(table(spark, sf_dir, "geniza_image_latents"), "id", "latent_vector", 64)
-    out = nearest(base, 5, 0.85).select("id", F.posexplode("neighbours").alias("p", "x"))
+    out = nearest_of_all(base, 5).select("id", F.posexplode("neighbours").alias("p", "x"))
     return out.select("id", (F.col("p") + 1).alias("neighbor_rank"), F.col("x.id").alias("neighbor_id"), F.col("x.similarity").alias("similarity"))
 
 

@@ -79,3 +79,26 @@ def test_recall_without_threshold(spark):
     np.fill_diagonal(s, -2)
     true = np.argsort(-s, axis=1)[:, :5]
     assert np.mean([len(got.get(i, set()) & set(true[i].tolist())) / 5 for i in range(3000)]) >= 0.9
+
+
+@pytest.mark.parametrize("block", [60, 32_768])
+def test_nearest_of_all_is_exact(spark, block):
+    good, bad = data()
+    df = spark.createDataFrame(good + bad, "id bigint, v array<float>").repartition(3)
+    base = vectors.valid_vectors(df, "id", "v", 64)
+    got = {r.id: [(x.id, x.similarity) for x in r.neighbours] for r in neighbours.nearest_of_all(base, 5, block).collect()}
+    ids, x = np.array([r[0] for r in good]), np.array([r[1] for r in good], dtype="f8")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(x @ x.T, 6)
+    assert len(got) == len(good)
+    for i, me in enumerate(ids):
+        best = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[i, j], ids[j]))[:5]
+        assert [n for n, _ in got[me]] == [ids[j] for j in best]
+    assert neighbours.nearest_of_all(base.limit(0), 5).count() == 0
+
+
+def test_p4_neighbours_of_scattered_pages(spark, tmp_path):
+    good, _ = data(groups=0)
+    spark.createDataFrame(good, "id bigint, latent_vector array<float>").write.parquet(str(tmp_path / "geniza_image_latents.parquet"))
+    rows = neighbours.p4_neighbours(spark, str(tmp_path)).groupBy("id").count().collect()
+    assert len(rows) == len(good) and all(r["count"] == 5 for r in rows)
