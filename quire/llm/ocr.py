@@ -26,6 +26,7 @@ REMEMBERED = 200_000
 _FORMAT = dict.fromkeys([*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0x2060])
 _MARKS = "-¬\xad‐‑=⸗"
 _TOKEN = re.compile(r"\S+")
+_SENTENCE_END = re.compile(r"[.!?…][”\")]*$")
 _EDGE = re.compile(r"^[^\w'!|]+|[^\w'!|]+$")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 # The numbers Hebrew letters stand for.
@@ -304,6 +305,14 @@ def break_parts(text: str) -> str | None:
     return _TOKEN.findall(t)[-1]
 
 
+def part_edited(part: str, ops: tuple[str, ...]) -> str:
+    """A part of a broken word with its letters' operations applied."""
+    if all(op == "=" for op in ops):
+        return part
+    new = apply_ops(part.lower(), list(ops))
+    return new.capitalize() if part[:1].isupper() else new
+
+
 def examine(lines: list[str], confidence: list, kinds: list[str], before: str | None, after: str | None, editor: Editor) -> tuple[list[set[str]], list[str], list[bool]]:
     """For the lines of a page: kinds of each, repaired text of each, and whether each joins the next body line.
 
@@ -313,13 +322,14 @@ def examine(lines: list[str], confidence: list, kinds: list[str], before: str |
     out: list[set[str]] = [{k} if k != "body" else set() for k in kinds]
     fixed = list(lines)
     joins = [False] * len(lines)
-    taken = False  # the first token belongs to a word of the line before
+    taken: str | None = None  # the first token, repaired, if it belongs to a word of the line before
     if before is not None and body and (part := break_parts(before)) is not None:
         first = (_TOKEN.findall(lines[body[0]]) or [""])[0]
         if first and editor.joined(part, first):
-            taken = True
-            ops = editor.edit(core_of(part[:-1]) + core_of(first))[1]  # its word is looked at again from the line before
-            if any(op != "=" for op in ops[len(core_of(part[:-1])) :]):
+            rest = core_of(first)
+            ops = editor.edit(core_of(part[:-1]) + rest)[1][len(core_of(part[:-1])) :]  # its word is looked at again from the line before
+            taken = first.replace(rest, part_edited(rest, ops), 1) if rest else first
+            if any(op != "=" for op in ops):
                 out[body[0]].add("misread")
     for at, i in enumerate(body):
         tokens, strange = _TOKEN.findall(lines[i]), False
@@ -327,10 +337,12 @@ def examine(lines: list[str], confidence: list, kinds: list[str], before: str |
         part = break_parts(lines[i])
         first = (_TOKEN.findall(nxt) or [""])[0] if nxt else ""
         joins[i] = part is not None and bool(first) and editor.joined(part, first)
-        made = []
+        made, follow = [], None
         for k, token in enumerate(tokens):
-            if k == 0 and taken:
-                made.append(token)
+            if k == 0 and taken is not None:
+                made.append(taken)
+                if k == len(tokens) - 1 and joins[i]:
+                    follow = first
                 continue
             core = core_of(token)
             if k == len(tokens) - 1 and joins[i]:
@@ -341,7 +353,8 @@ def examine(lines: list[str], confidence: list, kinds: list[str], before: str |
                     out[i].add("misread")
                 if at + 1 < len(body) and any(op != "=" for op in ops[len(stem) :]):
                     out[body[at + 1]].add("misread")
-                made.append(token)
+                made.append(token.replace(stem, part_edited(stem, ops[: len(stem)]), 1) if stem else token)
+                follow = first.replace(rest, part_edited(rest, ops[len(stem) :]), 1) if rest else first
                 continue
             pieces = [core] if core.lower() in editor.lexicon else re.split(r"(['’])", core) if core[:1].isascii() else [core]
             new = []
@@ -363,31 +376,32 @@ def examine(lines: list[str], confidence: list, kinds: list[str], before: str |
             out[i].add("hyphen_break")
         if strange and editor.doubtful(confidence[i]):  # a name or another word that cannot be judged by its letters
             out[i].add("misread")
-        taken = joins[i]
+        taken = follow
     return out, fixed, joins
 
 
-def paragraphs(fixed: list[str], kinds: list[str], joins: list[bool], started: str | None) -> list[tuple[int, bool, str]]:
-    """(first line, goes on from the page before, text) of a page's paragraphs.
+def paragraphs(fixed: list[str], kinds: list[str], joins: list[bool], started: str | None) -> list[tuple[int, bool, str, bool]]:
+    """(first line, goes on from the page before, text, last word goes on without a blank) of a page's paragraphs.
 
-    A paragraph ends with a line that ends a sentence and is shorter than 85 % of the page's longest line.
+    A paragraph ends with a line that ends a sentence and is shorter than 85 % of the page's longest line. It goes on
+    over the page's end if its last line there ends no sentence; continuous() joins such pieces.
     """
     body = [i for i, k in enumerate(kinds) if k == "body" and fixed[i]]
     if not body:
         return []
     width = max(len(fixed[i]) for i in body)
     out, text, first = [], "", None
-    goes_on = started is not None and not re.search(r"[.!?:…][”\")]*$", started)
+    goes_on = started is not None and not _SENTENCE_END.search(started)
     for i in body:
         if first is None:
             first = i
         line = fixed[i]
         text += line.rstrip().rstrip(_MARKS) if joins[i] else line + " "
-        if re.search(r"[.!?…][”\")]*$", line) and len(line) < 0.85 * width:
-            out.append((first, goes_on and not out, text.strip()))
+        if _SENTENCE_END.search(line) and len(line) < 0.85 * width:
+            out.append((first, goes_on and not out, text.strip(), False))
             text, first = "", None
     if text:
-        out.append((first, goes_on and not out, text.strip()))
+        out.append((first, goes_on and not out, text.strip(), joins[body[-1]]))
     return out
 
 
@@ -485,11 +499,11 @@ def pages_of(lines: DataFrame) -> DataFrame:
 
 
 def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
-    """One row per page: ms, page, page_key, found (array of line_id, kind) and paragraphs (line_id, continues, text).
+    """One row per page: ms, page, page_key, found (array of line_id, kind) and paragraphs (line_id, continues, text, joined).
 
     Pages are made of their lines; the running titles and the offsets of page numbers that repeat in a volume are
     counted over all pages and meet the pages salted; the body lines at a page's end and start are looked up from the
-    pages beside it. Then every page is worked on by itself. See pages_of() for nulls and repeated rows.
+    nearest pages with body lines. Then every page is worked on by itself. See pages_of() for nulls and repeated rows.
     """
     pages = cut(pages_of(lines), "pages")
 
@@ -516,15 +530,18 @@ def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
             for p, ls, heads in zip(cols[1], cols[3], cols[4]):
                 texts = [x["text"] for x in ls]
                 k = furniture(p, texts, heads or [])
-                body = [t for t, x in zip(texts, k) if x == "body"]
+                body = [t for t, x in zip(texts, k) if x == "body" and t]
                 kinds.append(k)
                 first.append(body[0] if body else None)
                 last.append(body[-1] if body else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(kinds, pa.list_(pa.string())), pa.array(first, pa.string()), pa.array(last, pa.string())], names=["ms", "page", "page_key", "lines", "kinds", "head", "tail"])
 
     ready = met.mapInArrow(classify, PAGE_SCHEMA + ", kinds array<string>, head string, tail string")
-    ready = with_neighbours(ready, "ms", ["page", "page_key"], ["head", "tail"])
-    ready = cut(ready.select("ms", "page", "page_key", "lines", "kinds", "next_head", "prev_tail"), "pages")
+    ready = cut(ready, "kinds")
+    columns = ["ms", "page", "page_key", "lines", "kinds"]
+    bare = ready.filter("tail IS NULL").select(*columns, *(F.lit(None).cast("string").alias(c) for c in ("next_head", "prev_tail")))
+    ready = with_neighbours(ready.filter("tail IS NOT NULL"), "ms", ["page", "page_key"], ["head", "tail"])
+    ready = cut(ready.select(*columns, "next_head", "prev_tail").unionByName(bare), "pages")
     lines_of_body = F.filter(F.zip_with("lines", "kinds", lambda x, k: x.withField("kind", k)), lambda x: x["kind"] == "body")
     follow = ready.select(lines_of_body.alias("all")).select("all", F.posexplode("all").alias("i", "x"))
     next_text = F.get("all", F.col("i") + 1)["text"]
@@ -532,7 +549,7 @@ def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
     editor = train_editor(train, words)
     sent = lines.sparkSession.sparkContext.broadcast((editor.lexicon.words, editor.letters.w, editor.joins.w, editor.confidence.w))
     found_type = pa.list_(pa.struct([("line_id", pa.int64()), ("kind", pa.string())]))
-    text_type = pa.list_(pa.struct([("line_id", pa.int64()), ("continues", pa.bool_()), ("text", pa.string())]))
+    text_type = pa.list_(pa.struct([("line_id", pa.int64()), ("continues", pa.bool_()), ("text", pa.string()), ("joined", pa.bool_())]))
 
     def work(batches):
         own = Editor(*sent.value)
@@ -542,10 +559,32 @@ def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
             for ls, kinds, after, before in zip(*cols):
                 out, fixed, joins = examine([x["text"] for x in ls], [x["confidence"] for x in ls], kinds, before, after, own)
                 found.append([{"line_id": x["line_id"], "kind": k} for x, ks in zip(ls, out) for k in sorted(ks)])
-                texts.append([{"line_id": ls[i]["line_id"], "continues": c, "text": t} for i, c, t in paragraphs(fixed, kinds, joins, before)])
+                texts.append([{"line_id": ls[i]["line_id"], "continues": c, "text": t, "joined": j} for i, c, t, j in paragraphs(fixed, kinds, joins, before)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, found_type), pa.array(texts, text_type)], names=["ms", "page", "page_key", "found", "paragraphs"])
 
-    return ready.mapInArrow(work, "ms string, page int, page_key string, found array<struct<line_id:bigint,kind:string>>, paragraphs array<struct<line_id:bigint,continues:boolean,text:string>>")
+    return ready.mapInArrow(work, "ms string, page int, page_key string, found array<struct<line_id:bigint,kind:string>>, paragraphs array<struct<line_id:bigint,continues:boolean,text:string,joined:boolean>>")
+
+
+def continuous(pages: DataFrame) -> DataFrame:
+    """(ms, paragraph, page_key, line_id, pages, text): the paragraphs of every volume, over page ends.
+
+    pages: result of repair(). paragraph counts from 0 in the volume; page_key and line_id are of its first line; pages
+    is the number of pages it stands on. Pieces join with a blank, halves of a broken word without. The pages of a
+    volume are counted by one window over ids alone; texts are shuffled by paragraph.
+    """
+    pages = cut(pages.filter(F.size("paragraphs") > 0).select("ms", "page", "page_key", "paragraphs"), "repaired")
+    first = F.col("paragraphs")[0]
+    goes_on = first["continues"].cast("int")
+    small = pages.select(first["line_id"].alias("key"), "ms", "page", "page_key", (F.size("paragraphs") - goes_on).alias("started"))
+    w = Window.partitionBy("ms").orderBy("page", "page_key")
+    before = F.coalesce(F.sum("started").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    small = small.withColumns({"place": F.row_number().over(w), "before": before}).select("key", "place", "before")
+    rows = pages.withColumns({"key": first["line_id"], "goes_on": goes_on}).join(small, "key").select("ms", "page_key", "place", "before", "goes_on", F.posexplode("paragraphs").alias("i", "x"))
+    rows = rows.withColumn("paragraph", F.col("before") + F.col("i") - F.col("goes_on"))
+    piece = F.struct("place", "page_key", "x.line_id", "x.text", "x.joined")
+    rows = rows.groupBy("ms", "paragraph").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    text = F.aggregate("p", F.lit(""), lambda a, x: F.concat(a, x["text"], F.when(x["joined"], F.lit("")).otherwise(F.lit(" "))))
+    return rows.select("ms", "paragraph", F.col("p")[0]["page_key"].alias("page_key"), F.col("p")[0]["line_id"].alias("line_id"), F.size("p").alias("pages"), F.trim(text).alias("text"))
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -557,9 +596,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Continuous paragraphs of every page: first line, whether it goes on from the page before, repaired text."""
-    rows = _repaired(spark, sf_dir).select("ms", "page_key", F.posexplode("paragraphs").alias("paragraph", "x"))
-    return rows.select(F.col("ms").alias("manuscript_id"), F.col("page_key").alias("page_number"), "paragraph", "x.line_id", "x.continues", "x.text")
+    """Continuous paragraphs of every volume: number, page and line of its start, pages it stands on, repaired text."""
+    rows = continuous(_repaired(spark, sf_dir))
+    return rows.select(F.col("ms").alias("manuscript_id"), F.col("page_key").alias("page_number"), "paragraph", "line_id", "pages", "text")
 
 
 QUERIES = {"p6_found": p6_found, "p6_paragraphs": p6_paragraphs}

@@ -133,3 +133,31 @@ def test_repair(spark):
     text = " ".join(p.text for x in out.filter("ms = 'v1'").collect() for p in x.paragraphs)
     assert "morning" in text and "A Book" not in text and " morn-" not in text
     assert O.repair(df.limit(0), wl.limit(0)).count() == 0
+
+
+def test_paragraphs_over_pages(spark):
+    rows, _, words = volume(random.Random(2))
+    lines = {(r[2], r[3]): r[4] for r in rows}
+    lines["P0003", 14], lines["P0004", 1] = "river stone letter garden window silver morn-", "ing river stone letter garden window silver"
+    lines["P0006", 14], lines["P0008", 1] = "river stone letter garden window silver gard-", "en river stone letter garden window silver"
+    lines["P0009", 7] = "stone letter."
+    rows = [(*r[:4], lines[r[2], r[3]], *r[5:]) for r in rows if r[2] != "P0007" or r[3] in (0, 15)]  # a page without body lines
+    df = spark.createDataFrame(rows, "line_id bigint, manuscript_id string, page_number string, line_idx int, text string, words array<string>, confidence double").repartition(3)
+    wl = spark.createDataFrame([(w, 5) for w in words], "word string, tf bigint")
+    got = O.continuous(O.repair(df, wl)).orderBy("paragraph").collect()
+    assert [(r.paragraph, r.page_key, r.pages) for r in got] == [(0, "P0001", 8), (1, "P0009", 4)]
+    assert "silver morning river" in got[0].text and "silver garden river" in got[0].text and got[0].text.endswith("stone letter.")
+
+
+def test_broken_word_is_repaired():
+    known = "letter garden morning".split()
+    editor = O.Editor(set(known), {}, {}, {})
+    editor.joined = lambda left, right: True
+    editor.memory["mcrning", False] = ("morning", ("=", "ro", "=", "=", "=", "=", "="))
+    editor.memory["gardcn", False] = ("garden", ("=", "=", "=", "=", "re", "="))
+    found, fixed, joins = O.examine(["letter mcr-", "ning, gard-"], [0.9, 0.9], ["body", "body"], None, "cn letter", editor)
+    assert fixed == ["letter mor-", "ning, gard-"] and joins == [True, True]
+    assert O.paragraphs(fixed, ["body", "body"], joins, None) == [(0, False, "letter morning, gard", True)]
+    assert O.examine(["cn letter"], [0.9], ["body"], "ning, gard-", None, editor)[1] == ["en letter"]
+    editor.memory["gardening", False] = ("gardening", ("=",) * 9)
+    assert O.examine(["gar-", "den-", "letter"], [0.9] * 3, ["body"] * 3, None, None, editor)[1][2] == "letter"
