@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quire.session import cut
+from quire.session import cut, release
 
 
 def edges(rows: DataFrame, a: str, b: str, score: str, row_id: str, examples: int = 100, least_weight: int = 1) -> DataFrame:
@@ -115,22 +115,30 @@ def k_cliques(e: DataFrame, size: int) -> DataFrame:
 def communities(e: DataFrame, weight: str | None = None, rounds: int = 10) -> DataFrame:
     """(node, community) by label propagation: every node takes the label of most weight among its neighbours.
 
-    Ties go to the smallest label; even and odd rounds move alternate nodes (by a hash), so that labels do not swing.
+    A node keeps its label while none has more weight; ties of others go to the smallest label. Rounds go on until no
+    node would move. In the first `rounds` half of the nodes move (by a hash that changes with the round), so that
+    labels do not swing; then of linked nodes only the one of the smallest hash moves, so that every round raises the
+    weight inside communities and the loop ends.
     This is not greedy modularity: that is sequential over the whole graph and has no distributed form.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     both = cut(ends(e.withColumn("_w", w), "_w"), "both")
     labels = cut(both.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    for i in range(rounds):
+    i = 0
+    while True:
         votes = both.join(labels.withColumnsRenamed({"node": "other", "label": "vote"}), "other").groupBy("node", "vote").agg(F.sum("_w").alias("n"))
-        best = votes.groupBy("node").agg(F.max(F.struct("n")).alias("m")).join(votes, "node").filter(F.col("n") == F.col("m.n")).groupBy("node").agg(F.min("vote").alias("best"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        new = labels.join(best, "node", "left").select("node", F.when(moves, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label"), "label").toDF("node", "label", "old")
-        new = cut(new, "labels")
-        changed = new.filter("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed and i % 2:
+        best = votes.join(labels, "node").groupBy("node").agg(F.max(F.when(F.col("vote") == F.col("label"), F.col("n"))).alias("own"), F.max("n").alias("top"), F.min_by("vote", F.struct(-F.col("n"), "vote")).alias("best"))
+        want = cut(best.filter("top > coalesce(own, 0)").select("node", "best", F.xxhash64("node", F.lit(i)).alias("turn")), "want")
+        if want.isEmpty():
             break
+        if i < rounds:
+            moves = want.filter(F.pmod("turn", F.lit(2)) == 0)
+        else:
+            pairs = both.join(want.select("node", "turn"), "node").join(want.select(F.col("node").alias("other"), F.col("turn").alias("before")), "other")
+            moves = want.join(pairs.filter((F.col("before") < F.col("turn")) | ((F.col("before") == F.col("turn")) & (F.col("other") < F.col("node")))).select("node"), "node", "left_anti")
+        labels = cut(labels.join(moves, "node", "left").select("node", F.coalesce("best", "label").alias("label")), "labels", labels)
+        release(want)
+        i += 1
     least = labels.groupBy("label").agg(F.min("node").alias("community"))
     return labels.join(least, "label").select("node", "community")
 

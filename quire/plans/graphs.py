@@ -30,12 +30,6 @@ def _edges(spark, d):
     return G.edges(_links(spark, d), "a", "b", "similarity_score", "id")
 
 
-def _thin(spark, d):
-    """Edges of the best scores only, where triangles and communities mean something."""
-    rows = _links(spark, d).filter((F.col("similarity_score") >= 0.8) & ~F.isnan("similarity_score"))
-    return G.edges(rows, "a", "b", "similarity_score", "id")
-
-
 _L = f"""l AS (SELECT id, nullif({TRIM.format('query_manuscript_id')}, '') AS a, nullif({TRIM.format('neighbor_manuscript_id')}, '') AS b, CASE WHEN similarity_score IS NULL OR isnan(similarity_score) THEN 0 ELSE similarity_score END AS s, total_images_in_query_manuscripts AS n FROM geniza_knn_results),
 p AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, s, id FROM l WHERE a <> b),
 e AS (SELECT src, dst, count(*) AS weight, greatest(max(s), 0.0) AS max_similarity FROM p GROUP BY 1, 2),
@@ -112,7 +106,7 @@ def f19_interactive_filter(spark, d):
 WITH {_L}, s AS (SELECT src, dst, weight, substr(src, 1, 2) = substr(dst, 1, 2) AS same FROM te), b AS (SELECT src AS node, same FROM s UNION ALL SELECT dst, same FROM s),
 k AS (SELECT node FROM b GROUP BY node HAVING bool_or(same) AND bool_or(NOT same)) SELECT src, dst, weight FROM s WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)""")
 def f20_bridges(spark, d):
-    return G.bridges(_thin(spark, d), F.substring("src", 1, 2) == F.substring("dst", 1, 2)).select("src", "dst", "weight")
+    return G.bridges(_edges(spark, d), F.substring("src", 1, 2) == F.substring("dst", 1, 2)).select("src", "dst", "weight")
 
 
 @query(f"WITH {_L} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node")
@@ -127,7 +121,7 @@ h2 AS (SELECT DISTINCT u AS node FROM b JOIN h1 ON b.v = h1.node WHERE u NOT IN
 SELECT node, hop, (SELECT count(*) FROM b WHERE b.v = node) AS degree FROM (SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2)""")
 def g4_ego_nodes(spark, d):
     """Two hops around the manuscript of most links."""
-    e = _thin(spark, d)
+    e = _edges(spark, d)
     top = G.degrees(e).orderBy(F.desc("degree"), F.desc("node")).limit(1).collect()
     return G.ego(e, [r.node for r in top], 2)[0]
 
@@ -135,38 +129,38 @@ def g4_ego_nodes(spark, d):
 @query()
 def g5_ego_edges(spark, d):
     """The edges among the first 20 nodes around the manuscript of most links."""
-    e = _thin(spark, d)
+    e = _edges(spark, d)
     top = G.degrees(e).orderBy(F.desc("degree"), F.desc("node")).limit(1).collect()
     return G.ego(e, [r.node for r in top], 2, most=20)[1].select("src", "dst", "weight")
 
 
 @query(f"WITH {_L} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM te x JOIN te y ON x.dst = y.src JOIN te z ON z.src = x.src AND z.dst = y.dst")
 def g6_triangles(spark, d):
-    return G.triangles(_thin(spark, d))
+    return G.triangles(_edges(spark, d))
 
 
 @query(f"""
 WITH {_L}, k AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM te x JOIN te y ON x.dst = y.src JOIN te z ON z.src = x.src AND z.dst = y.dst),
 pr AS (SELECT a AS src, b AS dst FROM k UNION SELECT a, c FROM k UNION SELECT b, c FROM k) SELECT src, dst, weight FROM te JOIN pr USING (src, dst)""")
 def g7_clique_edges(spark, d):
-    return G.clique_edges(_thin(spark, d), 3).select("src", "dst", "weight")
+    return G.clique_edges(_edges(spark, d), 3).select("src", "dst", "weight")
 
 
 @query(f"""
 WITH {_L}, k AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM te x JOIN te y ON x.dst = y.src JOIN te z ON z.src = x.src AND z.dst = y.dst)
 SELECT a || ',' || b || ',' || c || ',' || w.dst AS members FROM k JOIN te w ON w.src = k.c JOIN te v ON v.src = k.a AND v.dst = w.dst JOIN te u ON u.src = k.b AND u.dst = w.dst""")
 def g6_four_cliques(spark, d):
-    return G.k_cliques(_thin(spark, d), 4).select(F.array_join("c", ",").alias("members"))
+    return G.k_cliques(_edges(spark, d), 4).select(F.array_join("c", ",").alias("members"))
 
 
 @query()
 def g8_communities(spark, d):
-    return G.communities(_thin(spark, d), "weight")
+    return G.communities(_edges(spark, d), "weight")
 
 
 @query()
 def g10_circle_layout(spark, d):
-    c = G.communities(_thin(spark, d), "weight")
+    c = G.communities(_edges(spark, d), "weight")
     return G.circle_layout(c, "community", "node").select("node", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import hebrew as H, vectors as V
 from quire.functions.text import blank_to_null, normal_path, trimmed
 from quire.operators import allpairs, graph as G, layout as Y, lexicon as L, metrics as M, profile as P, reduction as N, relational as R, sampling as S
+from quire.plans import graphs
 from quire.sources import alto, files
 
 
@@ -124,6 +125,29 @@ def test_graph(spark):
     assert {r.node for r in comm} == {"a", "b", "c", "d"}
 
 
+def test_communities_settle(spark):
+    n = 60  # a path takes more than ten rounds
+    rows = [(f"{i:03}", f"{i + 1:03}", n - i) for i in range(n)]
+    e = spark.createDataFrame(rows, "src string, dst string, weight bigint")
+    got = {r.node: r.community for r in G.communities(e, "weight", rounds=2).collect()}
+    assert len(got) == n + 1
+    for v in got:
+        votes = {}
+        for a, b, w in rows:
+            if v in (a, b):
+                c = got[b if v == a else a]
+                votes[c] = votes.get(c, 0) + w
+        assert votes.get(got[v], 0) == max(votes.values()), v  # no node would move
+
+
+def test_graph_queries_take_all_links(spark, tmp_path):
+    row = lambda i, a, b, s: (i, a, b, f"q{a}", f"n{b}", s, 1)
+    rows = [row(1, "11a", "11b", 0.3), row(2, "11b", "22c", 0.9), row(3, "11a", "22c", 0.2), row(4, "11a", "33d", None), row(5, "11b", "33d", 0.5), row(6, "22c", "33d", 0.1)]
+    spark.createDataFrame(rows, "id bigint, query_manuscript_id string, neighbor_manuscript_id string, query_image_path string, neighbor_image_path string, similarity_score double, total_images_in_query_manuscripts int").write.parquet(str(tmp_path / "geniza_knn_results.parquet"))
+    count = lambda f: f(spark, str(tmp_path)).count()
+    assert [count(f) for f in (graphs.g4_ego_nodes, graphs.g5_ego_edges, graphs.g6_triangles, graphs.g6_four_cliques, graphs.g7_clique_edges, graphs.g8_communities, graphs.g10_circle_layout, graphs.f20_bridges)] == [4, 6, 4, 1, 6, 4, 4, 1]
+
+
 def test_upsert(spark):
     t = spark.createDataFrame([("a", 1, "old", "s"), ("b", 5, "keep", "s")], "k string, v int, x string, stale string")
     u = spark.createDataFrame([("a", 2, "new", "n"), ("b", 4, "late", "n"), ("c", 1, "add", "n")], "k string, v int, x string, stale string")
