@@ -150,9 +150,11 @@ def j2_join_thresholds(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, o_orderdate, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_custkey <= 20")
 def j3_multi_key_join(spark, d):
-    c = t(spark, d, "customer").filter("c_custkey <= 20").select("c_custkey", "c_name")
-    o = t(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return t(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderdate", "c_name")
+    """Every order line with its order's date and customer, met on two keys."""
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    named = lines.distinct().join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderdate", "c_name")
+    return lines.join(named, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "o_orderdate", "c_name")
 
 
 @query(f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import hebrew as H, vectors as V
 from quire.functions.text import blank_to_null, normal_path, trimmed
 from quire.operators import allpairs, graph as G, layout as Y, lexicon as L, metrics as M, profile as P, reduction as N, relational as R, sampling as S
-from quire.plans import graphs
+from quire.plans import graphs, relational
 from quire.sources import alto, files
 
 
@@ -148,6 +148,15 @@ def test_graph_queries_take_all_links(spark, tmp_path):
     assert [count(f) for f in (graphs.g4_ego_nodes, graphs.g5_ego_edges, graphs.g6_triangles, graphs.g6_four_cliques, graphs.g7_clique_edges, graphs.g8_communities, graphs.g10_circle_layout, graphs.f20_bridges)] == [4, 6, 4, 1, 6, 4, 4, 1]
 
 
+def test_multi_key_join_takes_all_customers(spark, tmp_path):
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("customer", [(7, "a"), (21, "b"), (900, "c")], "c_custkey bigint, c_name string")
+    put("orders", [(1, 7, "d1"), (2, 21, "d2"), (3, 900, "d3"), (4, 5, "d4")], "o_orderkey bigint, o_custkey bigint, o_orderdate string")
+    put("lineitem", [(1, 1), (1, 2), (2, 1), (2, 1), (3, 5), (4, 1), (9, 1)], "l_orderkey bigint, l_linenumber int")
+    got = sorted(map(tuple, relational.j3_multi_key_join(spark, str(tmp_path)).collect()))
+    assert got == [(1, 1, "d1", "a"), (1, 2, "d1", "a"), (2, 1, "d2", "b"), (2, 1, "d2", "b"), (3, 5, "d3", "c")]
+
+
 def test_upsert(spark):
     t = spark.createDataFrame([("a", 1, "old", "s"), ("b", 5, "keep", "s")], "k string, v int, x string, stale string")
     u = spark.createDataFrame([("a", 2, "new", "n"), ("b", 4, "late", "n"), ("c", 1, "add", "n")], "k string, v int, x string, stale string")
