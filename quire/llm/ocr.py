@@ -20,6 +20,8 @@ LEXICON_WORDS, TRAIN_LINES, EPOCHS = 200_000, 20_000, 5
 HEADS, HEAD_PAGES = 12, 2
 #: Salts by which the pages of one volume are spread when they meet its titles.
 SALTS = 16
+#: Lines in which an unknown word that no misreading explains is a name.
+NAME_LINES = 5
 #: Words a task remembers the repair of.
 REMEMBERED = 200_000
 
@@ -405,41 +407,85 @@ def paragraphs(fixed: list[str], kinds: list[str], joins: list[bool], started: s
     return out
 
 
+def inner_words(text: str) -> list[str]:
+    """The words of a line but its first and last, which may be parts of words."""
+    tokens = [core_of(t) for t in _TOKEN.findall(text)]
+    return [t for t in tokens[1:-1] if t and not any(c.isdecimal() for c in t[:1]) and t.isprintable()]
+
+
+def unknown_word(w: str, known: set[str]) -> bool:
+    return w not in known and any(c.isalpha() for c in w) and len(w) <= 40
+
+
+def explains(w: str, cost: float, k: int, cased: bool) -> bool:
+    """Whether a misreading of that cost explains an unknown word of k lines."""
+    gold = cost <= (1.0 if len(w) >= 4 else 0.5) or (cost <= 1.3 and len(w) >= 7) or (len(w) >= 8 and cost <= 2.0)
+    return gold and not (cased and k > 3 and cost > 1.0)
+
+
+def names_of(lines: DataFrame, known: set[str]) -> set[str]:
+    """The unknown words of NAME_LINES lines and more that no misreading explains, counted over all lines."""
+    sent = lines.sparkSession.sparkContext.broadcast(known)
+
+    def split(batches):
+        for batch in batches:
+            words, cased = [], []
+            for text in batch.column(0).to_pylist():
+                found: dict[str, bool] = {}
+                for t in inner_words(text):
+                    if unknown_word(low := t.lower(), sent.value):
+                        found[low] = found.get(low, False) or t[:1].isupper()
+                words += found
+                cased += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(cased, pa.bool_())], names=["w", "cased"])
+
+    def unexplained(batches):
+        lexicon = Lexicon(sent.value)
+        for batch in batches:
+            keep = []
+            for w, k, cased in zip(*(c.to_pylist() for c in batch.columns)):
+                found = lexicon.candidates(w)
+                if not found or not explains(w, found[0][0], k, cased):
+                    keep.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], names=["w"])
+
+    counted = lines.select("text").mapInArrow(split, "w string, cased boolean").groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.bool_or("cased").alias("cased"))
+    return {x.w for x in counted.filter(F.col("k") >= NAME_LINES).mapInArrow(unexplained, "w string").toLocalIterator()}
+
+
 def train_editor(lines: DataFrame, words: DataFrame) -> Editor:
     """Train on a bounded sample of lines (text, confidence) and the most frequent words of a list.
 
     Words of the list are to be kept as they are; an unknown token that a cheap misreading of one known word
-    explains is an example of its operations; unknown tokens of several lines that nothing explains are names.
+    explains is an example of its operations; unknown tokens of several lines that nothing explains are names, which
+    are counted over all lines (see names_of()) and all join the lexicon.
     Marks at line ends are examples by what the two parts make. Lines of known words only are clean, lines with an
     explained misreading are not: of these the use of the confidence is learned.
     """
     top = words.filter("word IS NOT NULL").groupBy(F.lower("word").alias("w")).agg(F.max("tf").alias("tf")).orderBy(F.desc_nulls_last("tf"), "w").limit(LEXICON_WORDS)
     known = {r.w for r in top.toLocalIterator()}
     lexicon = Lexicon(known)
+    names = names_of(lines, known)
     n = lines.count()
     some = lines if n <= TRAIN_LINES else lines.filter(F.pmod(F.xxhash64("line_id"), F.lit(1_000_000)) < int(1_000_000 * TRAIN_LINES / n)).limit(2 * TRAIN_LINES)
     counts: Counter = Counter()
     kept = []
     for r in some.select("text", "confidence").toLocalIterator():
-        tokens = [core_of(t) for t in _TOKEN.findall(r.text)]
-        inner = [t for t in tokens[1:-1] if t and not any(c.isdecimal() for c in t[:1]) and t.isprintable()]
+        inner = inner_words(r.text)
         kept.append((r.text, r.confidence, inner))
         counts.update({t.lower() for t in inner})
     cased = {t.lower() for _, _, inner in kept for t in inner if t[:1].isupper()}
-    examples, explained, unknown = [], set(), set()
+    examples, explained = [], set()
     for w in sorted(known):
         examples += [(letter_features(w, i, True, 0, False), ["=", "d"], "=") for i in range(len(w))]
     for w, k in sorted(counts.items()):
-        if w in known or not any(c.isalpha() for c in w) or len(w) > 40:
+        if not unknown_word(w, known):
             continue
-        unknown.add(w)
         found = lexicon.candidates(w)
         if not found:
             continue
         cost, _, ops = found[0]
-        gold = cost <= (1.0 if len(w) >= 4 else 0.5) or (cost <= 1.3 and len(w) >= 7) or (len(w) >= 8 and cost <= 2.0)
-        if w in cased and k > 3 and cost > 1.0:
-            gold = False
+        gold = w not in names and explains(w, cost, k, w in cased)
         if gold:
             explained.add(w)
         for i, op in enumerate(ops):
@@ -447,7 +493,6 @@ def train_editor(lines: DataFrame, words: DataFrame) -> Editor:
                 examples.append((letter_features(w, i, False, cost, w in cased), ["=", op], op if gold else "="))
     letters = Perceptron()
     letters.train(examples, EPOCHS)
-    names = {w for w, k in counts.items() if w in unknown and w not in explained and k >= 5}
     whole = Lexicon(known | names)
     marks = []
     pairs = lines.filter("mark IS NOT NULL AND follow IS NOT NULL")

@@ -161,3 +161,12 @@ def test_broken_word_is_repaired():
     assert O.examine(["cn letter"], [0.9], ["body"], "ning, gard-", None, editor)[1] == ["en letter"]
     editor.memory["gardening", False] = ("gardening", ("=",) * 9)
     assert O.examine(["gar-", "den-", "letter"], [0.9] * 3, ["body"] * 3, None, None, editor)[1][2] == "letter"
+
+
+def test_names_are_counted_over_all_lines(spark, monkeypatch):
+    monkeypatch.setattr(O, "TRAIN_LINES", 100)
+    rows = [(i, "river stone letter " + ("Zqxwvy" if i % 400 == 0 else "garden") + " window", 0.97) for i in range(2400)]
+    df = spark.createDataFrame(rows, "line_id bigint, text string, confidence double").withColumns({"mark": F.lit(None).cast("string"), "follow": F.lit(None).cast("string")})
+    wl = spark.createDataFrame([(w, 5) for w in "river stone letter garden window".split()], "word string, tf bigint")
+    editor = O.train_editor(df, wl)
+    assert "zqxwvy" in editor.lexicon and editor.edit("Zqxwvy")[0] == "zqxwvy"
