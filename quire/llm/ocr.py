@@ -16,7 +16,7 @@ from quire.session import cut, table
 
 #: Bounds of what the editor is trained on: words of the list (the most frequent) and lines; epochs.
 LEXICON_WORDS, TRAIN_LINES, EPOCHS = 200_000, 20_000, 5
-#: Running titles kept of a volume, and pages on which one stands at least.
+#: Running titles of a volume that misread ones are compared with, and pages on which one stands at least.
 HEADS, HEAD_PAGES = 12, 2
 #: Salts by which the pages of one volume are spread when they meet its titles.
 SALTS = 16
@@ -547,26 +547,34 @@ def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
     """One row per page: ms, page, page_key, found (array of line_id, kind) and paragraphs (line_id, continues, text, joined).
 
     Pages are made of their lines; the running titles and the offsets of page numbers that repeat in a volume are
-    counted over all pages and meet the pages salted; the body lines at a page's end and start are looked up from the
+    counted over all pages and meet the pages that have them; the most frequent titles, with which misread ones are
+    compared, meet the pages salted; the body lines at a page's end and start are looked up from the
     nearest pages with body lines. Then every page is worked on by itself. See pages_of() for nulls and repeated rows.
     """
     pages = cut(pages_of(lines), "pages")
 
     def count(batches):
         for batch in batches:
-            ms, keys = [], []
+            ms, at, keys = [], [], []
             for m, p, ls in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
                 for k in first_pass(p, [x["text"] for x in ls]):
                     ms.append(m)
+                    at.append(ls[0]["line_id"])
                     keys.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ms, pa.string()), pa.array(keys, pa.string())], names=["ms", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(ms, pa.string()), pa.array(at, pa.int64()), pa.array(keys, pa.string())], names=["ms", "at", "k"])
 
-    counted = pages.mapInArrow(count, "ms string, k string").groupBy("ms", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEAD_PAGES)
+    keys = cut(pages.mapInArrow(count, "ms string, at bigint, k string"), "keys")
+    counted = keys.groupBy("ms", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEAD_PAGES)
     place = F.row_number().over(Window.partitionBy("ms").orderBy(F.desc("n"), "k"))
-    heads = counted.withColumn("place", place).filter(F.col("place") <= HEADS).groupBy("ms").agg(F.sort_array(F.collect_list("k")).alias("heads"))
+    repeated = counted.select(F.col("ms").alias("cms"), F.col("k").alias("ck"))
+    own = keys.join(repeated, F.col("ms").eqNullSafe(F.col("cms")) & (F.col("k") == F.col("ck"))).groupBy("at").agg(F.sort_array(F.collect_set("k")).alias("own"))
+    heads = counted.filter("k NOT LIKE '#%'").withColumn("place", place).filter(F.col("place") <= HEADS).groupBy("ms").agg(F.sort_array(F.collect_list("k")).alias("heads"))
     heads = heads.select(F.col("ms").alias("hms"), "heads", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("hsalt"))
     salted = pages.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
-    met = salted.join(heads, F.col("ms").eqNullSafe(F.col("hms")) & (F.col("salt") == F.col("hsalt")), "left").select("ms", "page", "page_key", "lines", "heads")
+    met = salted.join(heads, F.col("ms").eqNullSafe(F.col("hms")) & (F.col("salt") == F.col("hsalt")), "left")
+    met = met.withColumn("at", F.col("lines")[0]["line_id"]).join(own, "at", "left")
+    none = F.array().cast("array<string>")
+    met = met.select("ms", "page", "page_key", "lines", F.array_union(F.coalesce("own", none), F.coalesce("heads", none)).alias("heads"))
 
     def classify(batches):
         for batch in batches:

@@ -170,3 +170,14 @@ def test_names_are_counted_over_all_lines(spark, monkeypatch):
     wl = spark.createDataFrame([(w, 5) for w in "river stone letter garden window".split()], "word string, tf bigint")
     editor = O.train_editor(df, wl)
     assert "zqxwvy" in editor.lexicon and editor.edit("Zqxwvy")[0] == "zqxwvy"
+
+
+def test_volume_of_many_titles(spark):
+    r = random.Random(4)
+    words = "river stone letter garden window silver winter paper corner little between another morning".split()
+    title = lambda c: f"{words[c % 13]} {words[c // 13 + 3]} and the {words[(5 * c + 2) % 13]}".upper()
+    rows = [(p * 10 + i, "v1", f"P{p:04d}", i, title(p // 2) if i == 0 else " ".join(r.choice(words) for _ in range(7)), None, 0.97) for p in range(60) for i in range(5)]
+    df = spark.createDataFrame(rows, "line_id bigint, manuscript_id string, page_number string, line_idx int, text string, words array<string>, confidence double")
+    wl = spark.createDataFrame([(w, 5) for w in [*words, "and", "the"]], "word string, tf bigint")
+    out = O.repair(df, wl).select(F.explode("found").alias("x")).filter("x.kind = 'header'").select("x.line_id").collect()
+    assert {x.line_id for x in out} == {p * 10 for p in range(60)}
