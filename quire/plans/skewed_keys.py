@@ -10,13 +10,14 @@ from quire.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "geniza_image_latents").select(trimmed("manuscript_id").alias("key_value"), "num_words", F.col("id").alias("row_id"))
-    links = table(spark, sf_dir, "geniza_knn_results").select(
-        F.col("total_images_in_query_manuscripts").cast("string").alias("key_value"), "similarity_score", F.col("id").alias("row_id")
+    """Both fields in one run: a key is the field's name and the value."""
+    rows = lambda name, field, key, value: table(spark, sf_dir, name).select(
+        F.struct(F.lit(field).alias("field_name"), key.alias("key_value")).alias("key"), F.col(value).cast("double").alias("v"), F.col("id").alias("row_id")
     )
-    a = middle_rows(pages, "key_value", "num_words", "row_id").withColumn("field_name", F.lit("manuscript_id"))
-    b = middle_rows(links, "key_value", "similarity_score", "row_id").withColumn("field_name", F.lit("total_images_in_query_manuscripts"))
-    return a.unionByName(b).filter(F.col("key_value").isNotNull()).select("field_name", "key_value", "row_id")
+    pages = rows("geniza_image_latents", "manuscript_id", trimmed("manuscript_id"), "num_words")
+    links = rows("geniza_knn_results", "total_images_in_query_manuscripts", F.col("total_images_in_query_manuscripts").cast("string"), "similarity_score")
+    out = middle_rows(pages.unionByName(links), "key", "v", "row_id")
+    return out.filter(F.col("key.key_value").isNotNull()).select("key.field_name", "key.key_value", "row_id")
 
 
 def p1_join_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int = 8, app: str = "quire", **conf: str) -> SparkSession:
@@ -55,7 +55,11 @@ def _path(spark: SparkSession, uri: str):
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder; what is still there when the application ends is deleted then."""
+    uri = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path, fs = _path(spark, uri)
+    fs.deleteOnExit(path)
+    return uri
 
 
 def remove(spark: SparkSession, uri: str) -> None:
@@ -78,7 +82,13 @@ def cut(df: DataFrame, name: str = "cut", drop: DataFrame | None = None) -> Data
     return out
 
 
+def hashed_share(columns: list[str], share: float) -> Column:
+    """Whether a row falls into a share (0 to 1) of all rows by the 64-bit hash of columns; any share is met, however small."""
+    return F.xxhash64(*columns) <= F.lit(min(2**63 - 1, int(share * 2.0**64) - 2**63))
+
+
 def release(df: DataFrame) -> None:
+    """Delete the files of a result of cut() that nothing needs any more."""
     uri = getattr(df, "_quire_uri", None)
     if uri:
         remove(df.sparkSession, uri)

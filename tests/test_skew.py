@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.ordering import with_neighbours
 from quire.operators.skew import eager_join_aggregate, middle_rows
+from quire.session import hashed_share
 
 
 def brute(rows):
@@ -28,6 +29,23 @@ def test_middle_rows_equals_brute_force(spark, final_rows):
     assert got == brute(rows)
 
 
+def test_outlier_and_hot_bins(spark):
+    r = random.Random(5)
+    rows = [("hot", r.random(), i) for i in range(20000)] + [(f"k{i % 50}", r.random(), 30000 + i) for i in range(3000)] + [("far", 1e300, 1)]
+    got = {(x.k, x.id) for x in middle_rows(spark.createDataFrame(rows, "k string, v double, id bigint"), "k", "v", "id", 16).collect()}
+    assert got == brute(rows)
+
+
+def test_hashed_share_is_met_however_small(spark):
+    rows = spark.range(200_000)
+    assert 150 <= rows.filter(hashed_share(["id"], 1e-3)).count() <= 250
+    assert rows.filter(hashed_share(["id"], 1.0)).count() == 200_000 and rows.filter(hashed_share(["id"], 0.0)).count() == 0
+    import pyspark.sql.functions as fn
+
+    low = rows.agg(fn.min(fn.xxhash64("id"))).first()[0]
+    assert rows.filter(hashed_share(["id"], (low + 2**63 + 2**12) / 2.0**64)).count() >= 1  # far below one in 1e5 can still be asked for
+
+
 def test_middle_rows_empty(spark):
     df = spark.createDataFrame([], "k string, v int, id bigint")
     assert middle_rows(df, "k", "v", "id").count() == 0
