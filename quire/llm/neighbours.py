@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quire.llm.vectors import BLOCK_ROWS, HELD_IDS, LIST_ROWS, Block, block_join, fit_index, post, unit, valid_vectors
+from quire.llm.vectors import BLOCK_ROWS, LIST_ROWS, Block, block_join, fit_index, post, unit, valid_vectors
 from quire.session import table
 
 #: Lists a vector is stored in and searches at most, and how far beyond the nearest centroid they may be.
@@ -20,18 +20,16 @@ def nearest(base: DataFrame, k: int, min_similarity: float, list_rows: int = LIS
 
     base: result of valid_vectors(). similarity is the cosine in double, rounded to 6 decimals; order: similarity
     descending, id ascending; rows below min_similarity are no neighbours, so arrays may be shorter than k (rows
-    without any are left out). k is at most HELD_IDS - 1. Equal vectors are searched for once and every row of them
+    without any are left out). Equal vectors are searched for once and every row of them
     gets its own neighbours. No rows, no result.
 
     Lists are balanced (a full list gets further centroids, then shards), vectors near a border are stored in
     several, and a query searches the lists that a ratio to its nearest centroid leaves. In a block every target
     whose similarity may reach the k-th is compared again in double, so only lists not searched cost accuracy.
     """
-    if k > HELD_IDS - 1:
-        raise ValueError(f"k may be at most {HELD_IDS - 1}")
     want = k + 1
     index = fit_index(base, max(min_similarity, 0.5), True, list_rows, block_rows)
-    posted = post(base, index, REPLICAS, PROBES, REPLICA_RATIO, PROBE_RATIO)
+    posted = post(base, index, REPLICAS, PROBES, REPLICA_RATIO, PROBE_RATIO, held_ids=want)
     arrow = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("score", pa.float64()), ("n", pa.int64())])
 
     def work(t: Block, q: Block, lst: int) -> list[np.ndarray] | None:
@@ -57,7 +55,7 @@ def nearest(base: DataFrame, k: int, min_similarity: float, list_rows: int = LIS
         at, ids, score = at[keep], ids[keep], score[keep]
         return [q.k1[at], q.k2[at], score, ids]
 
-    hits = block_join(posted, work, "k1 bigint, k2 int, score double, n bigint", arrow, True)
+    hits = block_join(posted, work, "k1 bigint, k2 int, score double, n bigint", arrow, want)
     return _of_rows(base, hits, k)
 
 
@@ -95,8 +93,6 @@ def nearest_of_all(base: DataFrame, k: int, block: int = GRID_ROWS) -> DataFrame
     vectors are divided into blocks; a task holds two of them and one product serves the rows of both, in single
     precision first and in double for what may be among the best. Quadratic in the number of different vectors.
     """
-    if k > HELD_IDS - 1:
-        raise ValueError(f"k may be at most {HELD_IDS - 1}")
     want = k + 1
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
     held = base.withColumn("place", place).filter(F.col("place") <= want).groupBy("k1", "k2").agg(F.first("vec").alias("vec"), F.collect_list("id").alias("ids"))

@@ -9,8 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Rows per list on average, and the most lists (64 floats each: at most 16 MB are sent to the tasks).
-LIST_ROWS, MOST_LISTS = 128, 65_536
+from quire.session import hashed_share
+
+#: Rows per list on average, and the most centroids (64 floats each: at most 16 MB are sent to the tasks). Where more
+#: lists are wanted, a second level divides every list by the nearest of up to MOST_PARTS residuals, the same for all lists.
+LIST_ROWS, MOST_LISTS, MOST_PARTS = 128, 65_536, 4096
 #: Rows the index is fitted on: at least so many, four for each list, and never more than MOST_SAMPLE. All rows are indexed.
 SAMPLE, MOST_SAMPLE = 65_536, 262_144
 #: Sample rows against which the density of all sample rows is counted.
@@ -19,8 +22,8 @@ DENSITY_ROWS = 16_384
 BLOCK_ROWS = 4096
 #: Leaders are at most so similar to one another.
 SPREAD = 0.6
-#: Copies of one vector of which the ids travel with it.
-HELD_IDS = 6
+#: Lists beyond which a vector is stored in and searches one list more for every fourfold number of them.
+FIRST_LISTS = 4096
 
 
 def valid_vectors(rows: DataFrame, row_id: str, vector: str, dim: int) -> DataFrame:
@@ -44,13 +47,35 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """Unit centroids, the layer above them, the links of both, and the shards of each list."""
+    """Unit centroids, the layer above them, the links of both, the shards of each list, and residuals that divide lists."""
 
     points: np.ndarray
     top: np.ndarray
     down: np.ndarray
     links: np.ndarray
     shards: np.ndarray
+    parts: np.ndarray
+
+    def more(self) -> int:
+        """Lists a vector is stored in and searches beyond those of an index of FIRST_LISTS lists."""
+        return max(0, int(np.ceil(np.log2(max(1, len(self.points) * len(self.parts) / FIRST_LISTS)) / 2)))
+
+    def lists(self, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """search(), and with a second level the `count` nearest parts of those lists: (list * parts + part, similarity)."""
+        near, sims = self.search(x, count)
+        many = len(self.parts)
+        if many == 1:
+            return near, sims
+        out_l, out_s = np.empty_like(near), np.empty_like(sims)
+        for i in range(0, len(x), 256):
+            rest = x[i : i + 256, None, :].astype(np.float32) - self.points[near[i : i + 256]]
+            far = np.square(rest).sum(axis=2)[:, :, None] - 2 * (rest @ self.parts.T) + np.square(self.parts).sum(axis=1)
+            far[:, 1:][near[i : i + 256, 1:] == near[i : i + 256, :-1]] = 9  # a list that is only repeated
+            far = far.reshape(len(far), -1)
+            best = _best(-far, count)
+            out_l[i : i + 256] = np.take_along_axis(near[i : i + 256], best // many, 1) * many + best % many
+            out_s[i : i + 256] = 1 - np.take_along_axis(far, best, 1) / 2
+        return out_l, out_s
 
     def search(self, x: np.ndarray, count: int, beam: int = 12, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """For unit rows x the lists of the `count` most similar centroids, best first, and the similarities.
@@ -91,36 +116,50 @@ def _best(s: np.ndarray, n: int) -> np.ndarray:
     return cols
 
 
-def fit(sample: np.ndarray, rows: int, near: float, balance: bool, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> Centroids:
+def _leaders(x: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Rows of x taken in order, each at most SPREAD similar to those taken before it; up to `most`."""
+    taken, n, left = np.empty((most, x.shape[1]), dtype=np.float32), 0, []
+    for i in range(0, len(order), 1024):
+        if n == most:
+            break
+        at = order[i : i + 1024]
+        at = at[(x[at] @ taken[:n].T).max(axis=1, initial=-1) <= SPREAD]
+        s = x[at] @ x[at].T > SPREAD
+        free = np.ones(len(at), dtype=bool)
+        for j in range(len(at)):
+            if free[j]:
+                free[j + 1 :] &= ~s[j, j + 1 :]
+        at = at[free][: most - n]
+        taken[n : n + len(at)] = x[at]
+        left.append(at)
+        n += len(at)
+    return np.concatenate(left) if left else np.zeros(0, dtype=np.int64)
+
+
+def _homes(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[i : i + 4096] @ points.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+
+
+def fit(sample: np.ndarray, rows: int, near: float, balance: bool, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS, most_lists: int = MOST_LISTS) -> Centroids:
     """Centroids for `rows` vectors from a sample.
 
     Leaders are taken in falling density (sample rows at least `near` similar), each at most SPREAD similar to those
     before it, so that a set of look-alikes gets one list; each moves to the mean of its look-alikes. With balance, a
     list that would hold more than block_rows gets further centroids from among its own sample rows. Without, and
-    for what is still longer, the list is divided into shards.
+    for what is still longer, the list is divided into shards. Where `rows` ask for more lists than most_lists,
+    residuals of the sample (row minus its centroid) become a second level, so lists do not grow with the data.
     """
     x = unit(sample).astype(np.float32) if len(sample) else np.eye(1, 64, dtype=np.float32)
-    lists = int(min(MOST_LISTS, max(8, -(-rows // list_rows)), len(x)))
+    lists = int(min(most_lists, max(8, -(-rows // list_rows)), len(x)))
     density = np.zeros(len(x), dtype=np.int64)
     some = x[:: max(1, len(x) // DENSITY_ROWS)]
     for i in range(0, len(x), 2048):
         density[i : i + 2048] = np.count_nonzero(x[i : i + 2048] @ some.T >= near, axis=1)
-    taken = np.empty((lists, x.shape[1]), dtype=np.float32)
-    n, spare = 0, []
-    for i in np.argsort(-density, kind="stable"):
-        if n == lists:
-            break
-        if n and (taken[:n] @ x[i]).max() > SPREAD:
-            if density[i] <= 1:
-                spare.append(i)
-            continue
-        taken[n] = x[i]
-        n += 1
-    for i in spare[: lists - n]:
-        taken[n] = x[i]
-        n += 1
-    points = taken[:n]
-    home = np.concatenate([(x[i : i + 4096] @ points.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+    order = np.argsort(-density, kind="stable")
+    leaders = _leaders(x, order, lists)
+    spare = order[(density[order] <= 1) & ~np.isin(order, leaders)][: lists - len(leaders)]
+    points = x[np.concatenate([leaders, spare])]
+    home = _homes(x, points)
     close = np.einsum("ij,ij->i", x, points[home]) >= near - 0.1
     mean = points.copy()
     np.add.at(mean, home[close], x[close])
@@ -129,27 +168,44 @@ def fit(sample: np.ndarray, rows: int, near: float, balance: bool, list_rows: in
     expected = np.bincount(home, minlength=len(points)) * scale
     if balance:
         more = [x[np.flatnonzero(home == k)[: int(expected[k] // (block_rows // 2))]] for k in np.flatnonzero(expected > block_rows)]
-        points = np.concatenate([points, *more])[:MOST_LISTS]
-        home = np.concatenate([(x[i : i + 4096] @ points.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+        points = np.concatenate([points, *more])[:most_lists]
+        home = _homes(x, points)
         expected = np.bincount(home, minlength=len(points)) * scale
-    shards = np.maximum(1, np.ceil(expected / block_rows)).astype(np.int64)
+    wanted = min(MOST_PARTS, -(-rows // (list_rows * most_lists))) if len(points) >= most_lists else 1
+    parts = np.zeros((1, x.shape[1]), dtype=np.float32)
+    if wanted > 1:
+        rest = x - points[home]
+        rest = rest[np.einsum("ij,ij->i", rest, rest) > 1e-6]
+        if len(rest) > wanted:
+            parts = rest[:: len(rest) // wanted][:wanted]
+            for _ in range(2):
+                own = np.concatenate([(2 * (rest[i : i + 4096] @ parts.T) - np.square(parts).sum(axis=1)).argmax(axis=1) for i in range(0, len(rest), 4096)])
+                sums = np.zeros_like(parts)
+                np.add.at(sums, own, rest)
+                size = np.bincount(own, minlength=len(parts))[:, None]
+                parts = np.where(size > 0, sums / np.maximum(size, 1), parts).astype(np.float32)
+    shards = np.maximum(1, np.ceil(expected / len(parts) / block_rows)).astype(np.int64)
     k = len(points)
     degree = min(16, k)
     links = np.concatenate([_best(points[i : i + 2048] @ points.T, degree) for i in range(0, k, 2048)])
     top = np.arange(0, k, max(1, min(16, k // 8)))
     down = np.concatenate([_best(points[top[i : i + 512]] @ points.T, min(32, k)) for i in range(0, len(top), 512)])
-    return Centroids(points, top, down, links, shards)
+    return Centroids(points, top, down, links, shards, parts)
 
 
-def fit_index(base: DataFrame, near: float, balance: bool, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> Centroids:
-    """Fit on a sample of the different vectors in base (see SAMPLE), chosen by a hash, so the same on every run."""
-    rows = base.count()
+def fit_index(base: DataFrame, near: float, balance: bool, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS, rows: int | None = None) -> Centroids:
+    """Fit on a sample of the different vectors in base (see SAMPLE), chosen by a hash, so the same on every run.
+
+    rows: how many rows base has, if known.
+    """
+    rows = base.count() if rows is None else rows
     wanted = min(MOST_SAMPLE, max(SAMPLE, 4 * min(MOST_LISTS, rows // list_rows)))
-    some = base if rows <= wanted else base.filter(F.pmod(F.xxhash64("k2", "k1"), F.lit(1_000_000)) < int(1_000_000 * wanted / rows))
-    some = some.groupBy("k1", "k2").agg(F.first("vec").alias("vec")).orderBy("k1", "k2").limit(2 * wanted)
-    found = some.select("vec").toArrow()["vec"].combine_chunks()
-    dim = len(found[0]) if len(found) else 64
-    return fit(found.values.to_numpy(zero_copy_only=False).reshape(-1, dim), rows, near, balance, list_rows, block_rows)
+    some = base if rows <= wanted else base.filter(hashed_share(["k2", "k1"], wanted / rows))
+    found = some.groupBy("k1", "k2").agg(F.first("vec").alias("vec")).toArrow()  # about `wanted` rows at most
+    dim = len(found["vec"][0]) if len(found) else 64
+    vec = found["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    order = np.lexsort((found["k2"].to_numpy(), found["k1"].to_numpy()))
+    return fit(vec[order], rows, near, balance, list_rows, block_rows)
 
 
 BLOCK_SCHEMA = "lst int, shard int, role int, k1 bigint, k2 int, w bigint, ids array<bigint>, x1 bigint, stored int, lists binary, vec binary"
@@ -166,15 +222,17 @@ def _rows_as_bytes(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * step).tobytes()), pa.py_buffer(x.tobytes())])
 
 
-def post(base: DataFrame, index: Centroids, replicas: int, probes: int, replica_ratio: float, probe_ratio: float, extra: str | None = None) -> DataFrame:
+def post(base: DataFrame, index: Centroids, replicas: int, probes: int, replica_ratio: float, probe_ratio: float, extra: str | None = None, held_ids: int = 1) -> DataFrame:
     """Rows of BLOCK_SCHEMA: every different vector of a batch in the lists it is stored in or searches.
 
     role 0: stored in the list and searches it; 1: searches it. A vector is stored in its nearest list and, up to
     `replicas`, in those whose centroid is no further than replica_ratio times the nearest; it searches up to `probes`
-    lists within probe_ratio. lists holds its lists, nearest first, of which it is stored in the first `stored`. Copies in a batch become one row with their number w and their HELD_IDS smallest ids.
+    lists within probe_ratio. lists holds its lists, nearest first, of which it is stored in the first `stored`. Copies in a
+    batch become one row with their number w and their held_ids smallest ids.
     extra: a column of base that goes along as x1. Distances are those between unit vectors.
     """
     sent = base.sparkSession.sparkContext.broadcast(index)
+    replicas, probes = replicas + index.more(), probes + index.more()
 
     def assign(batches):
         ix: Centroids = sent.value
@@ -190,7 +248,7 @@ def post(base: DataFrame, index: Centroids, replicas: int, probes: int, replica_
             starts = np.flatnonzero(new)
             w = np.diff(np.append(starts, len(order)))
             rep = order[starts]
-            lists, sims = ix.search(unit(vec[rep]), max(replicas, probes))
+            lists, sims = ix.lists(unit(vec[rep]), max(replicas, probes))
             dist = np.sqrt(np.maximum(2 - 2 * sims, 1e-6))
             rank = np.arange(lists.shape[1])
             fresh = np.concatenate([np.ones((len(rep), 1), dtype=bool), lists[:, 1:] != lists[:, :-1]], axis=1)
@@ -198,7 +256,7 @@ def post(base: DataFrame, index: Centroids, replicas: int, probes: int, replica_
             probe = fresh & ((rank == 0) | ((rank < probes) & (dist <= probe_ratio * dist[:, :1])))
             at, col = np.nonzero(store | probe)
             lst, stored = lists[at, col], store[at, col]
-            s = ix.shards[lst]
+            s = ix.shards[lst // len(ix.parts)]
             own = np.mod(k1[rep[at]], s)
             again = np.repeat(np.arange(len(at)), s)
             shard = np.arange(len(again)) - np.repeat(np.cumsum(s) - s, s)
@@ -207,7 +265,7 @@ def post(base: DataFrame, index: Centroids, replicas: int, probes: int, replica_
             again, shard, role = again[keep], shard[keep], role[keep]
             at, lst = at[again], lst[again]
             r = rep[at]
-            held = np.minimum(w[at], HELD_IDS)
+            held = np.minimum(w[at], held_ids)
             offsets = np.concatenate([[0], np.cumsum(held)])
             inner = np.arange(offsets[-1]) - np.repeat(offsets[:-1], held) + np.repeat(starts[at], held)
             data = np.ascontiguousarray(vec[r], dtype=np.float32)
@@ -247,7 +305,7 @@ class Block:
         return Block(self.k1[where], self.k2[where], self.w[where], self.x1[where], [self.ids[i] for i in where], self.raw[where], self.role[where], self.stored[where], self.lists[where])
 
 
-def _block(pieces: list[tuple]) -> Block:
+def _block(pieces: list[tuple], held_ids: int) -> Block:
     """Join pieces of sorted rows and collapse rows of the same vector, adding w and joining ids."""
     k1, k2, w, x1, raw, role, stored, lists = (np.concatenate([p[i] for p in pieces]) for i in (0, 1, 2, 3, 5, 6, 7, 8))
     ids = [x for p in pieces for x in p[4]]
@@ -259,7 +317,7 @@ def _block(pieces: list[tuple]) -> Block:
         return Block(k1[order], k2[order], w[order], x1[order], [ids[i] for i in order], raw[order], role[order], stored[order], lists[order])
     ends = np.append(starts[1:], len(order))
     first = order[starts]
-    joined = [ids[order[a]] if b - a == 1 else np.sort(np.concatenate([ids[j] for j in order[a:b]]))[:HELD_IDS] for a, b in zip(starts, ends)]
+    joined = [ids[order[a]] if b - a == 1 else np.sort(np.concatenate([ids[j] for j in order[a:b]]))[:held_ids] for a, b in zip(starts, ends)]
     return Block(k1[first], k2[first], np.add.reduceat(w[order], starts), x1[first], joined, raw[first], role[first], stored[first], lists[first])
 
 
@@ -277,11 +335,11 @@ def met_before(q: Block, t: Block, at: np.ndarray, to: np.ndarray, lst: int) ->
     return out
 
 
-def block_join(posted: DataFrame, work: Callable[[Block, Block, int], list[np.ndarray] | None], schema: str, arrow: pa.Schema, with_ids: bool) -> DataFrame:
+def block_join(posted: DataFrame, work: Callable[[Block, Block, int], list[np.ndarray] | None], schema: str, arrow: pa.Schema, held_ids: int = 0) -> DataFrame:
     """Apply work(targets, queries, list) to every block; the targets, which search their own list too, come as queries first.
 
     One shuffle by (list, shard); a task sees its blocks sorted, holds the targets of one block (bounded by the
-    shards) and meets the queries batch by batch.
+    shards) and meets the queries batch by batch. held_ids: ids of copies that work() sees; 0: the smallest only.
     """
 
     def rows(batch: pa.RecordBatch, a: int, b: int) -> tuple:
@@ -289,7 +347,7 @@ def block_join(posted: DataFrame, work: Callable[[Block, Block, int], list[np.nd
         k1, k2, w, x1, role = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "w", "x1", "role"))
         vec = part.column(part.schema.get_field_index("vec"))
         raw = np.frombuffer(b"".join(vec.to_pylist()), dtype=np.float32).reshape(len(vec), -1)
-        if with_ids:
+        if held_ids:
             held = part.column(part.schema.get_field_index("ids"))
             ids = np.split(held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())[:-1])
         else:
@@ -321,7 +379,7 @@ def block_join(posted: DataFrame, work: Callable[[Block, Block, int], list[np.nd
                 here, role = (code[a, 0], code[a, 1]), code[a, 2]
                 if here != now:
                     if held:
-                        targets = _block(held)
+                        targets = _block(held, max(1, held_ids))
                         yield from done(targets)
                     now, held, targets, last = here, [], None, None
                 piece = rows(batch, a, b)
@@ -329,11 +387,11 @@ def block_join(posted: DataFrame, work: Callable[[Block, Block, int], list[np.nd
                     held.append(piece)
                     continue
                 if held:
-                    targets, held = _block(held), []
+                    targets, held = _block(held, max(1, held_ids)), []
                     yield from done(targets)
                 if targets is None:
                     continue
-                q = _block([piece])
+                q = _block([piece], max(1, held_ids))
                 ends = (piece[0][-1], piece[1][-1])
                 if last is not None and len(q.k1):
                     other = np.flatnonzero((q.k1 != last[0]) | (q.k2 != last[1]))
@@ -342,7 +400,7 @@ def block_join(posted: DataFrame, work: Callable[[Block, Block, int], list[np.nd
                 if len(q.k1):
                     yield from done(q)
         if held:
-            targets = _block(held)
+            targets = _block(held, max(1, held_ids))
             yield from done(targets)
 
     return posted.repartition("lst", "shard").sortWithinPartitions("lst", "shard", "role", "k1", "k2").mapInArrow(run, schema)

@@ -61,6 +61,46 @@ def test_nearest_and_clusters(spark, block):
     assert len({r.id for r in out}) == len(out)
 
 
+def test_any_k_and_copies(spark):
+    good, bad = data(groups=5, singles=60)
+    base = vectors.valid_vectors(spark.createDataFrame(good + bad, "id bigint, v array<float>").repartition(3), "id", "v", 64)
+    ids, x = np.array([r[0] for r in good]), np.array([r[1] for r in good], dtype="f8")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(x @ x.T, 6)
+    want = {}
+    for i, me in enumerate(ids):
+        want[me] = [ids[j] for j in sorted((j for j in range(len(ids)) if j != i and s[i, j] >= 0.85), key=lambda j: (-s[i, j], ids[j]))[:20]]
+    got = {r.id: [n.id for n in r.neighbours] for r in neighbours.nearest(base, 20, 0.85).collect()}
+    assert sum(len(set(got.get(k, [])) & set(v)) for k, v in want.items()) >= 0.99 * sum(map(len, want.values()))
+    assert all(len(v) == 20 for v in neighbours.nearest_of_all(base, 20).select("neighbours.id").toPandas()["id"])
+
+
+def test_sample_of_any_size(spark):
+    """An index told of so many rows that one in five million is sampled still gets a sample, and lists enough."""
+    rows = 1_400_000_000_000
+    share = vectors.MOST_SAMPLE / rows
+    assert 2 <= spark.range(50_000_000).filter(vectors.hashed_share(["id"], share)).count() <= 25
+    x = np.random.default_rng(8).normal(size=(9000, 64)).astype("f4")
+    index = vectors.fit(x, rows, 0.85, False, most_lists=4096)
+    assert len(index.points) == 4096 and len(index.parts) == vectors.MOST_PARTS and index.more() == 6
+
+
+def test_second_level_of_lists():
+    rng = np.random.default_rng(2)
+    u = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centre = u(rng.normal(size=(30, 64)))
+    mean = u(centre[rng.integers(0, 30, 1500)] + 0.06 * rng.normal(size=(1500, 64)))
+    x = u(np.concatenate([mean + 0.02 * rng.normal(size=mean.shape) for _ in range(4)])).astype("f4")
+    index = vectors.fit(x, len(x), 0.85, False, list_rows=20, most_lists=24)
+    assert len(index.points) == 24 and len(index.parts) >= 10
+    near, sims = index.lists(vectors.unit(x), 4)
+    assert near.max() < 24 * len(index.parts) and (np.diff(sims, axis=1) <= 1e-6).all()
+    lists = [set(r) for r in near]
+    same = [len(lists[i] & lists[i + 1500]) > 0 for i in range(1500)]
+    assert np.mean(same) > 0.95  # look-alikes share a list
+    assert np.bincount(near[:, 0]).max() < 600
+
+
 def test_empty(spark):
     base = vectors.valid_vectors(spark.createDataFrame([(1, None)], "id bigint, v array<float>"), "id", "v", 64)
     assert neighbours.nearest(base, 5, 0.85).count() == 0
