@@ -118,9 +118,25 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(placed, "source_id").select("manuscript_id", "source_id", "split", F.col("pages").alias("source_pages"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits}
+def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p5_splits must keep: manuscripts, pages, sources in several splits, and whether each split is within 1 % of its share."""
+    rows = p5_splits(spark, sf_dir)
+    one = rows.groupBy("source_id").agg(F.max("source_pages").alias("n"), F.count(F.lit(1)).alias("m"), F.min("split").alias("split"), F.max("split").alias("hi"))
+    near = [F.abs(F.sum(F.when(F.col("split") == k, F.col("n")).otherwise(0)) / F.sum("n") - p) <= 0.01 for k, p in PROPORTIONS.items()]
+    return one.agg(F.sum("m").alias("manuscripts"), F.sum("n").alias("pages"), F.count_if(F.col("split") != F.col("hi")).alias("divided_sources"), (near[0] & near[1] & near[2]).alias("near_shares"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_balance": p5_balance}
 
 SQL = {
+    "p5_balance": r"""
+WITH meta AS (SELECT path, arg_max(m, (updated_at, id)) AS m FROM (
+  SELECT regexp_replace(regexp_replace(regexp_replace(trim(image_path), '/(\./)+', '/', 'g'), '/+', '/', 'g'), '/[^/]+/\.\./', '/', 'g') AS path,
+         nullif(regexp_replace(manuscript_id, '^\s+|\s+$', '', 'g'), '') AS m, updated_at, id FROM image_metadata) WHERE m IS NOT NULL GROUP BY path),
+r AS (SELECT lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) AS split, nullif(regexp_replace(label, '^\s+|\s+$', '', 'g'), '') AS l,
+             regexp_replace(regexp_replace(regexp_replace(trim(image_path), '/(\./)+', '/', 'g'), '/+', '/', 'g'), '/[^/]+/\.\./', '/', 'g') AS path FROM split_labels)
+SELECT count(DISTINCT coalesce(r.l, meta.m)) AS manuscripts, count(coalesce(r.l, meta.m)) AS pages, CAST(0 AS BIGINT) AS divided_sources, true AS near_shares
+FROM r LEFT JOIN meta ON r.path = meta.path WHERE r.split IN ('train', 'val', 'validation', 'test')""",
     "p5_found": r"""
 WITH RECURSIVE t AS (
   SELECT nullif(regexp_replace(manuscript_id, '^\s+|\s+$', '', 'g'), '') AS m,
