@@ -27,8 +27,8 @@ def scan_file(uri: str, n: int) -> tuple[pd.DataFrame, int, int]:
     """The best rows of one clustered file, the row groups read and those skipped.
 
     Row groups are read in descending maximum score. One that holds a single group is skipped if its maximum lies
-    strictly below that group's current n-th score; where a row group spans several groups, some may not have been
-    met, so it is read.
+    strictly below that group's current n-th score. The file is sorted by group and score, so a row group that spans
+    several groups holds the first rows of all but the first of them and can never lie below their n-th scores.
     """
     fs, path = FileSystem.from_uri(uri)
     with fs.open_input_file(path) as handle:
@@ -88,14 +88,14 @@ def top_n_per_group(rows: DataFrame, group: str, item: str, score: str, rank: st
     def scan(batches):
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                best, _, _ = scan_file(files[i], n)
+                best, _, _ = scan_file(i, n)
                 if len(best):
                     best = best.astype({"rank": "Int64"})
                     yield pa.RecordBatch.from_pandas(best[schema.names], schema=schema, preserve_index=False)
 
     if not files:
         return c.limit(0).select(F.col("g").alias(group), F.col("item").alias(item), F.col("score").alias(score), F.col("rank").alias(rank), F.col("id").alias(row_id), F.lit(0).alias("position"))
-    best = spark.range(0, len(files), 1, len(files)).mapInArrow(scan, "g string, item string, score double, rank bigint, id bigint")
+    best = spark.createDataFrame([(x,) for x in files], "uri string").repartition(len(files)).mapInArrow(scan, "g string, item string, score double, rank bigint, id bigint")
     by = [F.desc("score"), F.asc_nulls_last("rank"), F.col("id")]
     one = best.withColumn("_first", F.row_number().over(Window.partitionBy("g", "item").orderBy(*by))).filter("_first = 1")
     out = one.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy(*by))).filter(F.col("position") <= n)
