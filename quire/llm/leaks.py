@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.session import table
 
 #: Consecutive words that make a passage, and words of a block of the shift table.
 WORDS, BLOCK = 12, 3
-#: Characters of items searched for in one pass; a larger collection takes several passes over the corpus.
-PASS_CHARS = 16_000_000
+#: Words of items searched for in one pass (their tables take some 200 bytes a word in a task); more items make more passes.
+PASS_WORDS = 1_000_000
 _FORMAT = dict.fromkeys([*range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, 0xAD])
 _BROKEN = re.compile(r"(?<=[^\W\d_])-\n(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
@@ -27,40 +27,45 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Patterns:
-    """Tables for all runs of WORDS words of the items.
+    """Tables for all runs of `words` words of the items, under the hashes of blocks of `block` words.
 
-    shift: for a block of BLOCK words, how far the end of the window may move; blocks of no item move furthest.
-    buckets: for a block that ends a run, the runs it ends and the items they are in.
+    shift: for a block, how far the end of the window may move; blocks of no item move furthest. Two blocks of one
+    hash keep the smaller shift, so nothing is passed over. buckets: for a block that ends runs, where they stand
+    (item, first word). A run is settled by comparing its words, never by a hash.
     """
 
     def __init__(self, items: list[tuple[int, str | None]], words: int = WORDS, block: int = BLOCK):
         self.words, self.block = words, block
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            w = words_of(text)
-            for i in range(len(w) - words + 1):
-                run = tuple(w[i : i + words])
-                for end in range(block, words + 1):
-                    key = run[end - block : end]
-                    if self.shift.get(key, words) > words - end:
-                        self.shift[key] = words - end
-                self.buckets[run[-block:]][run].add(item)
+        self.ids = [item for item, _ in items]
+        self.texts = [words_of(text) for _, text in items]
+        self.shift: dict[int, int] = {}
+        self.buckets: dict[int, list[tuple[int, int]]] = {}
+        for at, w in enumerate(self.texts):
+            runs = len(w) - words + 1
+            if runs <= 0:
+                continue
+            for start in range(len(w) - block + 1):
+                # the block ends run number start + block - words, or lies before the end of later runs of the item
+                key, last = hash(tuple(w[start : start + block])), start + block - words
+                if last >= 0:
+                    self.shift[key] = 0
+                    self.buckets.setdefault(key, []).append((at, last))
+                elif self.shift.get(key, words) > -last:
+                    self.shift[key] = -last
 
     def search(self, w: list[str]) -> set[int]:
         """The items of which the words w contain a run."""
         found: set[int] = set()
-        words, block, shift, buckets = self.words, self.block, self.shift, self.buckets
+        words, block, shift, buckets, texts = self.words, self.block, self.shift, self.buckets, self.texts
         far, at, n = words - block + 1, words, len(w)
         while at <= n:
-            key = tuple(w[at - block : at])
+            key = hash(tuple(w[at - block : at]))
             step = shift.get(key, far)
             if step:
                 at += step
                 continue
-            items = buckets[key].get(tuple(w[at - words : at])) if key in buckets else None
-            if items:
-                found |= items
+            run = w[at - words : at]
+            found.update(self.ids[i] for i, start in buckets[key] if texts[i][start : start + words] == run)
             at += 1
         return found
 
@@ -68,14 +73,16 @@ class Patterns:
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, words: int = WORDS) -> DataFrame:
     """(doc_id, item_id) for every document that contains at least `words` consecutive words of an item.
 
-    Null, empty and short texts and items match nothing; repeated rows give repeated... no rows: each pair of ids
-    comes once per document row. Whole texts are searched. The items are collected in passes of at most PASS_CHARS
-    characters and each pass searches all documents, so that what is sent to the tasks never grows with the items.
+    Null, empty and short texts and items match nothing; a pair comes once for every row of the document, however
+    often it holds the item. Ids may be of any type. Whole texts are searched. The items are collected in passes of
+    about PASS_WORDS words and each pass searches all documents, so that what is sent to the tasks, and the tables
+    made of it, never grow with the items.
     """
     kind, ikind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     sized = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL AND i IS NOT NULL")
-    total = sized.agg(F.sum(F.length("t"))).first()[0] or 0
-    passes = max(1, -(-total // PASS_CHARS))
+    total = sized.agg(F.sum(F.size(F.split("t", r"[\s\W]+")))).first()[0] or 0
+    passes = max(1, -(-total // PASS_WORDS))
+    arrow = [to_arrow_type(x.schema[c].dataType) for x, c in ((docs, doc_id), (items, item_id))]
     out = None
     for p in range(passes):
         part = [(r.i, r.t) for r in sized.filter(F.pmod(F.xxhash64("i"), F.lit(passes)) == p).toLocalIterator()]
@@ -89,7 +96,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                     for item in sorted(patterns.search(words_of(t))):
                         ids.append(d)
                         found.append(item)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found)] if ids else [pa.array([], batch.schema.field(0).type), pa.array([], pa.int64())], names=["d", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow[0]), pa.array(found, arrow[1])], names=["d", "i"])
 
         one = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter("t IS NOT NULL").mapInArrow(scan, f"d {kind}, i {ikind}")
         out = one if out is None else out.unionByName(one)

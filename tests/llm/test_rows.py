@@ -91,6 +91,10 @@ def test_differencing():
 def test_packing(spark):
     r = random.Random(0)
     sizes = [(i, r.choice([5, 60, 700, 1500, 2047, 2048, 2049, 5000])) for i in range(900)] + [(1000, None), (1001, 0), (1002, -3), (1003, 4096), (5, 60)]
+    df = spark.createDataFrame([*sizes, (3, sizes[3][1]), (3, sizes[3][1])], "doc bigint, n int").withColumns({"item": F.lit("x"), "copy": F.lit(7)})
+    again = packing.pack_items(df.repartition(5), "doc", "n", shard_items=200)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, packing.pack_items(df, "doc", "n", shard_items=200).collect()))  # the same on every run
+    assert again.filter("doc = 3 AND piece = 0").select("copy").distinct().count() == 3
     df = spark.createDataFrame(sizes, "doc bigint, n int").withColumn("item", F.lit("x"))
     out = packing.pack_items(df, "doc", "n", shard_items=200).collect()
     by, whole = defaultdict(int), defaultdict(int)
@@ -132,6 +136,8 @@ def test_leaks(spark):
     got = [(x.doc_id, x.item_id) for x in leaks.find_leaks(dd, "doc_id", "text", di, "item_id", "text").collect()]
     assert set(got) == want and len(got) == len(want) and want
     assert leaks.find_leaks(dd, "doc_id", "text", di.limit(0), "item_id", "text").count() == 0
+    text = leaks.find_leaks(dd.select("doc_id", "text"), "doc_id", "text", di.withColumn("item_id", F.concat(F.lit("item "), "item_id")), "item_id", "text")
+    assert {(x.doc_id, int(x.item_id[5:])) for x in text.collect()} == want
     assert leaks.words_of("Ca­fé W-\n3 ab-\ncd ‎x_y") == ["café", "w", "3", "abcd", "x", "y"]
 
 
