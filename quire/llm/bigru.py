@@ -4,128 +4,173 @@ from __future__ import annotations
 
 import numpy as np
 
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
-def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of each word between two blanks, padded with 0, and the lengths."""
-    raw = [b" " + w.encode("utf-8") + b" " for w in words]
-    lengths = np.array([len(r) for r in raw])
-    out = np.zeros((len(raw), int(lengths.max(initial=1))), dtype=np.int64)
-    for i, r in enumerate(raw):
-        out[i, : len(r)] = np.frombuffer(r, dtype=np.uint8)
-    return out, lengths
+#: Sequences of one product when labelling.
+ROWS = 2048
 
 
 class BiGRU:
-    """Labels every byte of a sequence with one of `classes`. Axis 0 of X, U and b: forward, backward."""
+    """Labels every byte of a sequence with one of `classes`.
+
+    A byte is read together with its two neighbours (an embedding of their hash). A step of either direction reads
+    `patch` bytes, the sum of their embeddings; a byte's label follows from its own embedding and from both states at
+    its step. Gates are piecewise linear, the candidate state is x / (1 + |x|). Axis 0 of W, U and b: forward, backward.
+    """
 
-    def __init__(self, classes: int, hidden: int = 32, seed: int = 7):
+    def __init__(self, classes: int, hidden: int = 16, patch: int = 8, width: int = 16, bits: int = 14, seed: int = 7):
         rng = np.random.default_rng(seed)
-        h = hidden
-        self.hidden, self.classes = h, classes
+        self.classes, self.hidden, self.patch, self.bits = classes, hidden, patch, bits
+        k = hidden
         p = {
-            "X": rng.normal(0, 0.3, (2, 256, 3 * h)), "U": rng.normal(0, (1 / h) ** 0.5, (2, h, 3 * h)), "b": np.zeros((2, 3 * h)),
-            "O": rng.normal(0, (1 / h) ** 0.5, (2 * h, classes)), "o": np.zeros(classes),
+            "E": rng.normal(0, 0.3, (1 << bits, width)), "W": rng.normal(0, (1 / width) ** 0.5, (2, 3 * k, width)), "U": rng.normal(0, (1 / k) ** 0.5, (2, 3 * k, k)),
+            "b": np.zeros((2, 3 * k)), "O": rng.normal(0, (1 / k) ** 0.5, (classes, 2 * k)), "S": np.zeros((classes, width)), "o": np.zeros(classes),
         }
-        self.p = {k: v.astype(np.float32) for k, v in p.items()}
-
-    def _run(self, x: np.ndarray, lengths: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Class probabilities of each position, and which positions are real."""
-        n, t_max, k = *x.shape, self.hidden
-        mask = np.arange(t_max)[None, :] < lengths[:, None]
-        turn = np.where(mask, lengths[:, None] - 1 - np.arange(t_max)[None, :], np.arange(t_max)[None, :])
-        both = np.stack([x, np.take_along_axis(x, turn, 1)])
-        p, steps = self.p, []
-        gates = p["X"][np.arange(2)[:, None, None], both] + p["b"][:, None, None, :]
-        h = np.zeros((2, n, k), dtype=p["U"].dtype)
-        out = np.empty((2, n, t_max, k), dtype=h.dtype)
-        for t in range(t_max):
-            gh = np.matmul(h, p["U"])
-            g = gates[:, :, t]
-            zr = _sigmoid(g[..., : 2 * k] + gh[..., : 2 * k])
-            z, r, u = zr[..., :k], zr[..., k:], gh[..., 2 * k :]
-            c = np.tanh(g[..., 2 * k :] + r * u)
-            if keep is not None:
-                steps.append((h, z, r, c, u))
-            h = h + (1 - z) * (c - h)
-            out[:, :, t] = h
-        joined = np.concatenate([out[0], np.take_along_axis(out[1], turn[:, :, None], 1)], axis=2)
-        s = joined @ p["O"] + p["o"]
-        e = np.exp(s - s.max(axis=2, keepdims=True))
-        if keep is not None:
-            keep |= {"steps": steps, "joined": joined, "turn": turn, "both": both}
-        return e / e.sum(axis=2, keepdims=True), mask
-
-    def label(self, words: list[str]) -> np.ndarray:
-        """Class probabilities of each word: the mean of its positions' log probabilities, made to sum to 1."""
-        out = np.empty((len(words), self.classes))
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for i in range(0, len(order), 512):
-            at = order[i : i + 512]
-            x, lengths = encode([words[j] for j in at])
-            p, mask = self._run(x, lengths)
-            logs = (np.log(p + 1e-9) * mask[:, :, None]).sum(axis=1) / lengths[:, None]
-            e = np.exp(logs - logs.max(axis=1, keepdims=True))
-            out[at] = e / e.sum(axis=1, keepdims=True)
+        p["W"][:, : 2 * k] *= 0.25
+        p["U"][:, : 2 * k] *= 0.25
+        p["b"][:, : 2 * k] = 0.5
+        self.p = {n: v.astype(np.float32) for n, v in p.items()}
+        self.p["E"][0] = 0
+
+    def codes(self, values: np.ndarray) -> np.ndarray:
+        """Slot of every byte of a text with its neighbours; slot 0 is padding."""
+        h = values.astype(np.uint32)
+        out = h * np.uint32(0x9E3779B1)
+        out[1:] += h[:-1] * np.uint32(0x85EBCA6B)
+        out[:-1] += h[1:] * np.uint32(0xC2B2AE35)
+        out >>= np.uint32(32 - self.bits)
+        return np.maximum(out, 1).astype(np.int32)
+
+    def steps(self, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Slots of sequences codes[first : first + length] as (byte of the step, step, sequence), padded with 0."""
+        t_max = max(1, -(-int(length.max(initial=1)) // self.patch))
+        place = np.arange(self.patch)[:, None] + self.patch * np.arange(t_max)[None, :]
+        out = codes.take(place[:, :, None] + first, mode="clip")
+        out[place[:, :, None] >= length] = 0
         return out
 
-    def train(self, words: list[str], targets: np.ndarray, weights: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 11) -> float:
-        """Fit to a target distribution per word with Adam; the last epoch's mean loss per position."""
-        rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        lengths_of = np.array([len(w.encode("utf-8")) for w in words])
+    def _sums(self, slots: np.ndarray) -> np.ndarray:
+        """Sums of the embeddings of every step's bytes: (steps, sequences, width)."""
+        a = self.p["E"].take(slots[0], axis=0)
+        for more in slots[1:]:
+            a += self.p["E"].take(more, axis=0)
+        return a
+
+    def _walk(self, a: np.ndarray, length: np.ndarray, way: int, trail: list | None = None):
+        """Yields (step, state) of one direction; sequences are sorted by falling length, only those that last so far are in a state."""
+        k, t_max = self.hidden, len(a)
+        w, u, b = self.p["W"][way], self.p["U"][way], self.p["b"][way][:, None]
+        active = (-(-length // self.patch)[None, :] > np.arange(t_max)[:, None]).sum(axis=1)
+        h = np.zeros((k, a.shape[1]), dtype=a.dtype)
+        for t in range(t_max) if way == 0 else range(t_max - 1, -1, -1):
+            m = active[t]
+            old = h[:, :m].copy()
+            g, gh = w @ a[t, :m].T, u @ old
+            g += b
+            zr = g[: 2 * k]
+            zr += gh[: 2 * k]
+            np.clip(zr, 0, 1, out=zr)
+            c = zr[k:] * gh[2 * k :]
+            c += g[2 * k :]
+            c /= 1 + np.abs(c)
+            new = c - old
+            new *= 1 - zr[:k]
+            new += old
+            if trail is not None:
+                trail.append((t, old, zr, c, gh[2 * k :]))
+            h[:, :m] = new
+            yield t, new
+
+    def pooled(self, values: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """For sequences of a text's bytes the sums over their bytes of the labels' scores: (sequences, classes).
+
+        The softmax of such a sum is the product of the bytes' label probabilities, made to sum to 1.
+        """
+        out = np.zeros((len(first), self.classes), dtype=np.float32)
+        order, k = np.argsort(-length, kind="stable"), self.hidden
+        order, codes = order[length[order] > 0], self.codes(values)
+        for i in range(0, len(order), ROWS):
+            at = order[i : i + ROWS]
+            n = length[at]
+            a = self._sums(self.steps(codes, first[at], n))
+            real = np.clip(n[None, :] - self.patch * np.arange(len(a))[:, None], 0, self.patch).astype(np.float32)
+            total = np.zeros((2 * k, len(at)), dtype=np.float32)
+            for way in (0, 1):
+                for t, h in self._walk(a, n, way):
+                    total[way * k : (way + 1) * k, : h.shape[1]] += h * real[t, : h.shape[1]]
+            out[at] = (self.p["O"] @ total).T + a.sum(axis=0) @ self.p["S"].T + n[:, None] * self.p["o"]
+        return out
+
+    def _states(self, a: np.ndarray, length: np.ndarray, trails: tuple = (None, None)) -> np.ndarray:
+        out = np.zeros((*a.shape[:2], 2 * self.hidden), dtype=a.dtype)
+        for way in (0, 1):
+            for t, h in self._walk(a, length, way, trails[way]):
+                out[t, : h.shape[1], way * self.hidden : (way + 1) * self.hidden] = h.T
+        return out
+
+    def label(self, values: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Label probabilities of every byte of sequences sorted by falling length: (sequences, bytes, classes)."""
+        slots = self.steps(self.codes(values), first, length)
+        s = (self._states(self._sums(slots), length) @ self.p["O"].T)[None] + self.p["E"][slots] @ self.p["S"].T + self.p["o"]
+        s = np.exp(s - s.max(axis=3, keepdims=True))
+        return (s / s.sum(axis=3, keepdims=True)).transpose(2, 1, 0, 3).reshape(len(first), -1, self.classes)
+
+    def train(self, values: np.ndarray, first: np.ndarray, length: np.ndarray, classes: np.ndarray, epochs: int, batch: int = 192, rate: float = 0.02, end: float = 0.1, seed: int = 11) -> float:
+        """Fit every byte of sequences (bytes, first, length) to the class of its sequence with Adam; the last epoch's mean loss."""
+        rng, codes = np.random.default_rng(seed), self.codes(values)
+        m, v2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step, loss = 0, 0.0
         for epoch in range(epochs):
-            noisy = lengths_of + rng.random(len(words)) * 2
-            order = np.argsort(noisy, kind="stable")
-            starts = rng.permutation(np.arange(0, len(words), batch))
-            now = rate * (0.1 ** (epoch / max(1, epochs - 1)))
-            total = count = 0.0
+            order = np.argsort(-(length + rng.random(len(length)) * 12), kind="stable")
+            starts = rng.permutation(np.arange(0, len(order), batch))
+            now, total = rate * end ** (epoch / max(1, epochs - 1)), 0.0
             for i in starts:
                 at = order[i : i + batch]
-                x, lengths = encode([words[j] for j in at])
-                grads, part, positions = self._gradients(x, lengths, targets[at].astype(np.float32), weights[at].astype(np.float32))
-                total, count, step = total + part, count + positions, step + 1
+                at = at[np.argsort(-length[at], kind="stable")]
+                grads, part = self.gradients(self.steps(codes, first[at], length[at]), length[at], classes[at])
+                total, step = total + part, step + 1
                 for k, g in grads.items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v2[k] = 0.999 * v2[k] + 0.001 * g * g
-                    self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-            loss = total / max(count, 1)
+                    m[k] += 0.1 * (g - m[k])
+                    v2[k] += 0.001 * (g * g - v2[k])
+                    self.p[k] -= now / (1 - 0.9**step) * m[k] / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-7)
+            loss = total / max(1, len(starts))
         return loss
 
-    def _gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray, weights: np.ndarray):
-        keep: dict = {}
-        p, mask = self._run(x, lengths, keep)
-        k, scale = self.hidden, mask / lengths[:, None] * weights[:, None]
-        loss = float(-(scale[:, :, None] * y[:, None, :] * np.log(p + 1e-9)).sum())
-        ds = ((p - y[:, None, :]) * (scale / len(x))[:, :, None]).astype(p.dtype)
-        grads = {"O": np.tensordot(keep["joined"], ds, ([0, 1], [0, 1])), "o": ds.sum(axis=(0, 1))}
-        d = ds @ self.p["O"].T
-        d = np.stack([d[..., :k], np.take_along_axis(d[..., k:], keep["turn"][:, :, None], 1)])
-        u_t, dh = self.p["U"].transpose(0, 2, 1), np.zeros_like(d[:, :, 0])
-        dg, dgh, hs = [], [], []
-        for t in range(x.shape[1] - 1, -1, -1):  # padding comes last in both directions and has no gradient of its own
-            h, z, r, c, u = keep["steps"][t]
-            dh = dh + d[:, :, t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h - c) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            dg.append(np.concatenate([dz, dr, dc], axis=2))
-            dgh.append(np.concatenate([dz, dr, dc * r], axis=2))
-            hs.append(h)
-            dh = dh * z + np.matmul(dgh[-1], u_t)
-        dg, dgh, hs = (np.stack(v[::-1], axis=2) for v in (dg, dgh, hs))
-        grads["b"] = dg.sum(axis=(1, 2))
-        flat = lambda v: v.reshape(2, -1, v.shape[-1])
-        grads["U"] = np.matmul(flat(hs).transpose(0, 2, 1), flat(dgh))
-        grads["X"] = np.zeros_like(self.p["X"])
-        for i in range(2):
-            byte = keep["both"][i].ravel()
-            order = np.argsort(byte, kind="stable")
-            starts = np.flatnonzero(np.append(True, np.diff(byte[order]) != 0))
-            grads["X"][i, byte[order[starts]]] = np.add.reduceat(flat(dg)[i][order], starts, axis=0)
-        return grads, loss, float(weights.sum())
+    def gradients(self, slots: np.ndarray, length: np.ndarray, classes: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Gradients of the mean over sequences of the mean loss of a sequence's bytes, and that loss; sequences by falling length."""
+        p, k, n, trails = self.p, self.hidden, slots.shape[2], ([], [])
+        e, a = p["E"][slots], self._sums(slots)
+        states = self._states(a, length, trails)
+        s = (states @ p["O"].T)[None] + e @ p["S"].T + p["o"]
+        s = np.exp(s - s.max(axis=3, keepdims=True))
+        s /= s.sum(axis=3, keepdims=True)
+        share = (slots > 0) / length / n
+        own = np.take_along_axis(s, np.broadcast_to(classes[None, None, :, None], (*slots.shape, 1)), 3)[..., 0]
+        loss = float(-(np.log(own + 1e-9) * share).sum())
+        s[:, :, np.arange(n), classes] -= 1
+        ds = (s * share[..., None]).astype(e.dtype)
+        by_step = ds.sum(axis=0)
+        grads = {"O": np.tensordot(by_step, states, ([0, 1], [0, 1])), "S": np.tensordot(ds, e, ([0, 1, 2], [0, 1, 2])), "o": ds.sum(axis=(0, 1, 2))}
+        for name in ("W", "U", "b"):
+            grads[name] = np.zeros_like(p[name])
+        d, da = by_step @ p["O"], np.zeros_like(a)
+        for way in (0, 1):
+            dh = np.zeros((k, n), dtype=e.dtype)
+            for t, h, zr, c, u in reversed(trails[way]):
+                m, z, r = h.shape[1], zr[:k], zr[k:]
+                got = dh[:, :m] + d[t, :m, way * k : (way + 1) * k].T
+                dc = got * (1 - z) * (1 - np.abs(c)) ** 2
+                gates = np.concatenate([got * (h - c), dc * u]) * ((zr > 0) & (zr < 1))
+                dg, dgh = np.concatenate([gates, dc]), np.concatenate([gates, dc * r])
+                dh[:, :m] = got * z + p["U"][way].T @ dgh
+                grads["U"][way] += dgh @ h.T
+                grads["W"][way] += dg @ a[t, :m]
+                grads["b"][way] += dg.sum(axis=1)
+                da[t, :m] += dg.T @ p["W"][way]
+        de = ds @ p["S"] + da[None]
+        flat = slots.ravel()
+        order = np.argsort(flat, kind="stable")
+        order = order[np.searchsorted(flat[order], 1) :]
+        grads["E"] = np.zeros_like(p["E"])
+        if len(order):
+            starts = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+            grads["E"][flat[order[starts]]] = np.add.reduceat(de.reshape(-1, de.shape[3])[order], starts, axis=0)
+        return grads, loss

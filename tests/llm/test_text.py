@@ -6,24 +6,28 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.llm import languages as L, ocr as O
-from quire.llm.bigru import BiGRU, encode
+from quire.llm.bigru import BiGRU
 from quire.llm.perceptron import Perceptron
 
 
 def test_bigru_gradient():
-    m = BiGRU(3, 4)
+    m = BiGRU(3, 4, patch=2, width=3, bits=6)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    x, n = encode(["ab", "xyz", "q"])
-    y, w = np.eye(3), np.ones(3)
-    g, _, _ = m._gradients(x, n, y, w)
+    values, first, length = np.frombuffer(b"abcxyzwqabab", dtype=np.uint8), np.array([0, 3, 8]), np.array([5, 3, 2])
+    slots, y = m.steps(m.codes(values), first, length), np.arange(3)
+    g, _ = m.gradients(slots, length, y)
     for k in m.p:
         at = np.unravel_index(np.argmax(abs(g[k])), g[k].shape)
-        m.p[k][at] += 1e-4
-        a = m._gradients(x, n, y, w)[1]
-        m.p[k][at] -= 2e-4
-        b = m._gradients(x, n, y, w)[1]
-        m.p[k][at] += 1e-4
-        assert abs((a - b) / 2e-4 / 3 - g[k][at]) < 1e-5
+        m.p[k][at] += 1e-5
+        a = m.gradients(slots, length, y)[1]
+        m.p[k][at] -= 2e-5
+        b = m.gradients(slots, length, y)[1]
+        m.p[k][at] += 1e-5
+        assert abs((a - b) / 2e-5 - g[k][at]) < 1e-6
+    each, sums = m.label(values, first, length), m.pooled(values, first, length)
+    for i, n in enumerate(length):  # the sums of scores give the product of the bytes' probabilities
+        p = np.log(each[i, :n]).sum(axis=0)
+        assert np.allclose(np.exp(p - p.max()) / np.exp(p - p.max()).sum(), np.exp(sums[i] - sums[i].max()) / np.exp(sums[i] - sums[i].max()).sum(), atol=1e-5)
 
 
 EN = "the old copy still shows a long note about paper and ink while another hand adds some words near that line".split()
@@ -49,7 +53,7 @@ def test_languages(spark):
     docs += [(200, None, "en"), (201, " \n", "en"), (202, "123 -- 4.", "en"), (203, docs[5][1] * 300, "iw"), (1, docs[1][1], "de-AT ")]
     words = [(w, k, 3) for k, ws in (("en", EN), ("de", DE), ("he", HE)) for w in ws] + [(None, "en", 1), ("x", None, 1)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
-    net = L.fit_labeller(df, "text", "lang", spark.createDataFrame(words, "word string, lang string, tf bigint"))
+    net = L.fit_network(df, "text", "lang", spark.createDataFrame(words, "word string, lang string, tf bigint"))
     out = {x.doc_id: x for x in L.label_documents(df, "doc_id", "text", net).collect()}
     assert out[3].langs == ["de", "en"] and [s.lang for s in out[3].segments] == ["en", "de", "en"]
     assert out[6].langs == ["en"] and out[203].langs == ["he"]
@@ -66,9 +70,20 @@ def test_languages(spark):
     assert L.label_documents(df.limit(0), "doc_id", "text", net).count() == 0
 
 
+def parts(text):
+    s = L.sentences([text.encode()])
+    return [(s.values[i : i + n].tobytes().decode().split(), w) for i, n, w in zip(s.first.tolist(), s.length.tolist(), s.whole.tolist()) if n]
+
+
 def test_sentences():
-    s = L.sentences("Mark: AB-C1.2\nLines: 8\n\nOne two. Three “four. Five” six?\nShelf XY-Z3.4 holds it")
-    assert [(a[2].split(), a[3]) for a in s if a[2].split()] == [(["One", "two."], True), (["Three", "six?"], True), (["Shelf", "holds", "it"], False)]
+    got = parts("Mark: AB-C1.2\nLines: 8\n\nOne two. Three “four. Five” six?\nShelf XY-Z3.4 holds it")
+    assert got == [(["one", "two"], True), (["three", "six"], True), (["shelf", "xy", "z", "holds", "it"], False)]
+    assert parts("A “" + "long quotation. " * 60 + "” b!") == [(["a", "b"], True)]  # of any length
+    assert parts("A “ b. C\n\nd” e. F \"g h\" צה\"ל i.") == [(["a", "b"], True), (["c"], False), (["d", "e"], True), (["f", "צה", "ל", "i"], True)]
+    assert parts("Ein Be-\ngriff, ÜBER\xad\nall… Ça «x. y» „z“ dît‎es (oui!). ٣ مرة؟ لا") == [(["ein", "begriff", "überall"], True), (["ça", "dîtes", "oui"], True), (["مرة"], True), (["لا"], False)]
+    assert parts("") == [] and parts(" \n\n 12 - 4.") == []
+    s = L.sentences([b"", b"One. Two", b" ", "é, é. Ü".encode()])
+    assert s.doc.tolist() == [1, 1, 3, 3] and s.start.tolist() == [0, 4, 0, 7] and s.end.tolist() == [4, 8, 7, 10]
 
 
 def test_perceptron():
