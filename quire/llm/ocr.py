@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
+import random
 import re
-from collections import Counter, defaultdict
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quire.functions.text import blank_to_null
+from quire.llm import editor as E
 from quire.llm.perceptron import Perceptron
 from quire.operators.ordering import with_neighbours
-from quire.session import cut, table
-
-#: Bounds of what the editor is trained on: words of the list (the most frequent) and lines; epochs.
-LEXICON_WORDS, TRAIN_LINES, EPOCHS = 200_000, 20_000, 5
-#: Running titles of a volume that misread ones are compared with, and pages on which one stands at least.
-HEADS, HEAD_PAGES = 12, 2
-#: Salts by which the pages of one volume are spread when they meet its titles.
-SALTS = 16
-#: Lines in which an unknown word that no misreading explains is a name.
+from quire.session import cut, hashed_share, release, table
+
+#: Bounds of what the perceptrons are trained on: lines, lines of which breaks are made, and pages, taken by a hash; epochs.
+TRAIN_LINES, BREAK_LINES, TRAIN_PAGES, EPOCHS = 16_000, 4000, 800, 5
+#: Lines in which an unknown word stands that others may be misreadings of.
 NAME_LINES = 5
-#: Words a task remembers the repair of.
-REMEMBERED = 200_000
+#: Pages on which a running title stands at least.
+HEAD_PAGES = 2
+#: Most words of a word list, which goes to every task.
+LIST_WORDS = 2_000_000
 
 _FORMAT = dict.fromkeys([*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0x2060])
 _MARKS = "-¬\xad‐‑=⸗"
 _TOKEN = re.compile(r"\S+")
 _SENTENCE_END = re.compile(r"[.!?…][”\")]*$")
 _EDGE = re.compile(r"^[^\w'!|]+|[^\w'!|]+$")
+#: Shelfmarks and numbers of several digits are no words.
+_SHELF = re.compile(r"[A-Z]{2,}-[A-Z]?\d|\d[.\d]*\d")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 # The numbers Hebrew letters stand for.
 _HEBREW = dict(zip("אבגדהוזחטיכלמנסעפצקרשת", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 200, 300, 400]))
@@ -49,26 +49,41 @@ def number_in(text: str) -> tuple[int | None, bool]:
         return None, False
     x = m.group(1)
     digits = x.translate(str.maketrans({"l": "1", "I": "1", "!": "1", "|": "1", "O": "0", "o": "0", "S": "5", "B": "8", "Z": "2", "b": "6", "g": "9"}))
-    if digits.isdecimal() and len(digits) <= 5 and (any(c.isdecimal() for c in x) or len(x) <= 3 and set(x) <= set("lIO!|")):
+    if digits.isdecimal() and len(digits) <= 18 and (any(c.isdecimal() for c in x) or len(x) <= 3 and set(x) <= set("lIO!|")):
         return int(digits), True
     low = x.lower()
     if set(low) <= set(_ROMAN):
         values = [_ROMAN[c] for c in low]
         return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values)), False
-    if all(c in _HEBREW for c in x) and len(x) <= 5:
+    if all(c in _HEBREW for c in x):
         return sum(_HEBREW[c] for c in x), False
     return None, False
 
 
 def title_keys(text: str) -> list[str]:
-    """Forms under which a running title is counted: whole, without its first and without its last token."""
+    """Forms under which a running title is counted: whole, without its first and without its last token.
+
+    A line with a number inside is no title.
+    """
+    if any(t.strip(".,:;()[]").isdecimal() for t in text.split()[1:-1]):
+        return []
     tokens = [t for t in (re.sub(r"[\W\d_]", "", x).lower() for x in text.split())]
     whole = [t for t in tokens if t]
     forms = {" ".join(whole)}
     raw = text.split()
     if len(raw) > 2:
         forms |= {" ".join(t for t in tokens[1:] if t), " ".join(t for t in tokens[:-1] if t)}
-    return [f for f in forms if len(f) >= 5 and " " in f or len(f) >= 8]
+    return sorted(f for f in forms if len(f) >= 5 and " " in f or len(f) >= 8)
+
+
+def near_keys(forms: list[str]) -> list[str]:
+    """The forms with one word left open, so that a title misread in one word meets the title."""
+    out = set()
+    for form in forms:
+        words = form.split()
+        if len(words) >= 2:
+            out |= {"~" + " ".join("_" if i == j else w for i, w in enumerate(words)) for j in range(len(words)) if sum(map(len, words)) - len(words[j]) >= 3}
+    return sorted(out)
 
 
 def offset_key(value: int, page: int) -> str:
@@ -80,7 +95,9 @@ def first_pass(page: int, lines: list[str]) -> list[str]:
     keys: set[str] = set()
     for i in (0, 1):
         if i < len(lines):
-            keys.update(title_keys(lines[i]))
+            forms = title_keys(lines[i])
+            keys.update(forms)
+            keys.update(near_keys(forms))
     for i in {0, 1, len(lines) - 1}:
         if 0 <= i < len(lines):
             value, _ = number_in(lines[i])
@@ -89,196 +106,119 @@ def first_pass(page: int, lines: list[str]) -> list[str]:
     return sorted(keys)
 
 
-def is_title(text: str, heads: list[str]) -> bool:
-    forms = title_keys(text)
-    if any(f in heads for f in forms):
-        return True
-    for f in forms:
-        for h in heads:
-            if h[0] != "#" and abs(len(f) - len(h)) <= 3 and SequenceMatcher(None, f, h, autojunk=False).ratio() >= 0.85:
-                return True
-    return False
+KINDS = ["body", "header", "page_number"]
 
 
-def furniture(page: int, lines: list[str], heads: list[str]) -> list[str]:
-    """'header', 'page_number' or 'body' for each line of a page, by its position and what repeats in the volume."""
+def line_signs(i: int, page: int, lines: list[str], repeated: set[str]) -> dict[str, str]:
+    """Where a line stands on its page and what of it repeats in the volume."""
+    text, n = lines[i], len(lines)
+    forms = title_keys(text)
+    value, digits = number_in(text)
+    words = len(text.split())
+    return {
+        "place": f"top{i}" if i < 3 else f"end{n - 1 - i}" if i >= n - 2 else "inner", "last": str(i == n - 1),
+        "title": "exact" if any(f in repeated for f in forms) else "near" if any(f in repeated for f in near_keys(forms)) else "none",
+        "number": "no" if value is None else "digits" if digits else "letters",
+        "offset": "no" if value is None else str(offset_key(value, page) in repeated),
+        "words": "0" if not words else "1" if words == 1 else "2-6" if words < 7 else "7+", "stop": str(bool(_SENTENCE_END.search(text))),
+    }
+
+
+def line_features(s: dict[str, str], before: list[str]) -> list[str]:
+    seen = ("h" if "header" in before else "") + ("n" if "page_number" in before else "")
+    one = [f"{k}={v}" for k, v in s.items()]
+    two = [f"{x}={s[x]}|{y}={s[y]}" for x, y in (("place", "title"), ("place", "number"), ("number", "offset"), ("title", "words"), ("title", "number"), ("last", "number"))]
+    return [*one, *two, f"{seen}|{s['title']}", f"{seen}|{s['number']}|{s['offset']}", f"{s['place']}|{s['number']}|{s['offset']}", f"{s['last']}|{s['number']}|{s['offset']}"]
+
+
+def furniture(page: int, lines: list[str], repeated: set[str], model: Perceptron) -> list[str]:
+    """'header', 'page_number' or 'body' for each line of a page; a perceptron decides for the lines at its ends."""
     kinds = ["body"] * len(lines)
-    offsets = {h for h in heads if h[0] == "#"}
-
-    def number(i: int) -> bool:
-        value, digits = number_in(lines[i])
-        if value is None:
-            return False
-        return digits or offset_key(value, page) in offsets
-
-    n = len(lines)
-    top = 0
-    while top < min(2, n):
-        if kinds[:top].count("page_number") == 0 and number(top):
-            kinds[top] = "page_number"
-        elif kinds[:top].count("header") == 0 and is_title(lines[top], heads):
-            kinds[top] = "header"
-        else:
-            break
-        top += 1
-    if n > top and "page_number" not in kinds and number(n - 1):
-        kinds[n - 1] = "page_number"
+    for i in range(len(lines)):
+        if i < 3 or i >= len(lines) - 2:
+            kinds[i] = model.best(line_features(line_signs(i, page, lines, repeated), kinds[:i]), KINDS)
     return kinds
 
 
-class Lexicon:
-    """Known words and, for an unknown one, the known words a misreading of it can lead back to."""
-
-    def __init__(self, words: set[str]):
-        self.words = words
-        self.near: dict[str, list[str]] = defaultdict(list)
-        for w in sorted(words):
-            for d in self._deletes(w):
-                self.near[d].append(w)
+def furniture_examples(page: int, lines: list[str], repeated: set[str], r: random.Random) -> list[tuple[list[str], list[str], str]]:
+    """Lines of a page whose kind the volume tells: what repeats at the top, numbers that go up with the pages, and lines with
+    nothing of either. Half of the titles are shown as if misread, and half of the numbers in digits as if out of order,
+    so that place and shape are learned too.
+    """
+    out, kinds = [], []
+    for i in range(len(lines)):
+        if not (i < 3 or i >= len(lines) - 2):
+            kinds.append("body")
+            continue
+        s, gold = line_signs(i, page, lines, repeated), None
+        if s["title"] == "exact" and i < 2:
+            gold = "header"
+            s["title"] = r.choice(["exact", "near"])
+        elif s["title"] == "none" and s["number"] != "no" and s["offset"] == "True":
+            gold = "page_number"
+            s["offset"] = r.choice(["True", "False"]) if s["number"] == "digits" else "True"
+        elif s["title"] == "none" and (s["number"] == "no" or s["number"] == "letters" and s["offset"] == "False"):
+            gold = "body"
+        if gold is not None:
+            out.append((line_features(s, kinds), KINDS, gold))
+        kinds.append(gold or "body")
+    return out
 
-    @staticmethod
-    def _deletes(w: str) -> set[str]:
-        one = {w[:i] + w[i + 1 :] for i in range(len(w))}
-        two = {x[:i] + x[i + 1 :] for x in one for i in range(len(x))} if len(w) >= 4 else set()
-        return {w} | one | two
 
-    def __contains__(self, w: str) -> bool:
-        return w in self.words
+def unchanged(word: str, ops: tuple[str, ...]) -> bool:
+    return "".join(ops) == word
 
-    def candidates(self, w: str) -> list[tuple[float, str, list[str]]]:
-        """(cost, word, operation for each letter of w), cheapest first."""
-        found = {x for d in self._deletes(w) for x in self.near.get(d, ())}
-        out = []
-        for x in found:
-            cost, ops = align(w, x)
-            if cost <= (2.0 if len(w) >= 6 else 1.3):
-                out.append((cost, x, ops))
-        return sorted(out, key=lambda y: (y[0], y[1]))[:3]
 
+class Asked:
+    """Stands in for the answers and notes what is asked; breaks are joined or not, as told."""
 
-def align(w: str, x: str) -> tuple[float, list[str]]:
-    """Cost of reading w as x and the operations: '=', 'r' + letter, 'd' delete, and '+' letters to insert after.
+    def __init__(self, known: set[str], join: bool):
+        self.known, self.join, self.questions = known, join, set()
 
-    A letter for a letter, two for one and one for two cost 1, a lost or added letter 1.3.
-    """
-    n, m = len(w), len(x)
-    inf = 1e9
-    best = [[inf] * (m + 1) for _ in range(n + 1)]
-    back: dict[tuple[int, int], tuple[int, int]] = {}
-    best[0][0] = 0.0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            c = best[i][j]
-            if c >= 3:
-                continue
-            steps = []
-            if i < n and j < m:
-                steps.append((1, 1, 0.0 if w[i] == x[j] else 1.0))
-            if i < n:
-                steps.append((1, 0, 1.3))
-            if j < m:
-                steps.append((0, 1, 1.3))
-            if i + 1 < n and j < m:
-                steps.append((2, 1, 1.0))
-            if i < n and j + 1 < m:
-                steps.append((1, 2, 1.0))
-            for a, b, k in steps:
-                if c + k < best[i + a][j + b] - 1e-9:
-                    best[i + a][j + b] = c + k
-                    back[i + a, j + b] = (a, b)
-    ops = ["="] * n
-    i, j = n, m
-    if best[n][m] >= inf:
-        return inf, ops
-    while i or j:
-        a, b = back[i, j]
-        i, j = i - a, j - b
-        if (a, b) == (1, 1):
-            ops[i] = "=" if w[i] == x[j] else "r" + x[j]
-        elif (a, b) == (1, 0):
-            ops[i] = "d"
-        elif (a, b) == (0, 1):
-            if i:
-                ops[i - 1] = (ops[i - 1] if ops[i - 1] != "=" else "=") + "+" + x[j]
-            elif n:
-                ops[0] = "=^" + x[j]
-        elif (a, b) == (2, 1):
-            ops[i], ops[i + 1] = "r" + x[j], "d"
-        else:
-            ops[i] = "r" + x[j] + "+" + x[j + 1]
-    return best[n][m], ops
+    def edit(self, token: str) -> tuple[str, tuple[str, ...], bool]:
+        low = token.lower()
+        self.questions.add(question(low, token[:1].isupper()))
+        return low, tuple(low), True
 
+    def broken(self, left: str, right: str) -> tuple[bool, str, tuple[str, ...], bool]:
+        front, a, b, end = parts_of(left, right)
+        self.questions.add(question(a + E.BREAK + left[-1] + b, left[len(front) : len(front) + 1].isupper(), core_of(right)[:1].isupper()))
+        return self.join, a + b, tuple(front.lower() + a + b + end.lower()), True
 
-def apply_ops(w: str, ops: list[str]) -> str:
-    out = []
-    for c, op in zip(w, ops):
-        base, _, more = op.partition("+")
-        if "^" in base:
-            base, _, front = base.partition("^")
-            out.append(front)
-        if base == "=":
-            out.append(c)
-        elif base[:1] == "r":
-            out.append(base[1:])
-        out.append(more)
-    return "".join(out)
 
+class Answers:
+    """The edits of words and breaks that stand on a page. What has no answer is a known word that stays as it is."""
 
-def _shape(c: str) -> str:
-    return "9" if c.isdecimal() else "a" if c.isalpha() else c
+    def __init__(self, known: set[str], rows: list[dict]):
+        self.known, self.rows = known, {x["q"]: x for x in rows}
 
+    def edit(self, token: str) -> tuple[str, tuple[str, ...], bool]:
+        """(text, what is written for each letter, whether it is a known word)."""
+        low = token.lower()
+        x = self.rows.get(question(low, token[:1].isupper()))
+        return (low, tuple(low), True) if x is None else (x["text"], tuple(x["ops"]), x["there"])
 
-def letter_features(w: str, i: int, known: bool, cost: float, cased: bool) -> list[str]:
-    c, p, n = w[i], w[i - 1] if i else "^", w[i + 1] if i + 1 < len(w) else "$"
-    state = "known" if known else "unknown"
-    near = f"{state}|{cost:.0f}|{'long' if len(w) >= 6 else 'short'}|{'case' if cased else 'low'}"
-    return [state, near, f"{state}|c{c}", f"{state}|p{p}{c}", f"{state}|n{c}{n}", f"s{_shape(p)}{c}{_shape(n)}", f"{near}|c{c}"]
+    def broken(self, left: str, right: str) -> tuple[bool, str, tuple[str, ...], bool]:
+        """(joined, text of the divided word, what is written for each letter of the tokens, whether it is a known word)."""
+        front, a, b, end = parts_of(left, right)
+        x = self.rows.get(question(a + E.BREAK + left[-1] + b, left[len(front) : len(front) + 1].isupper(), core_of(right)[:1].isupper()))
+        joined, text, ops, there = (False, a + b, tuple(a + b), True) if x is None else (x["joined"], x["text"], tuple(x["ops"]), x["there"])
+        return joined, text, (*front.lower(), *ops, *end.lower()), there
 
 
-class Editor:
-    """Predicts an operation for every letter, and for a mark at a line's end whether the lines join."""
+def question(word: str, cased: bool, next_cased: bool = False) -> str:
+    return word + "\t" + ("^" if cased else "") + (">" if next_cased else "")
 
-    def __init__(self, lexicon: set[str], letters: dict, joins: dict, confidence: dict):
-        self.lexicon, self.letters, self.joins, self.confidence = Lexicon(lexicon), Perceptron(), Perceptron(), Perceptron()
-        self.letters.w, self.joins.w, self.confidence.w = letters, joins, confidence
-        self.memory: dict[tuple[str, bool], tuple[str, tuple[str, ...]]] = {}
 
-    def edit(self, token: str) -> tuple[str, tuple[str, ...]]:
-        """The repaired token and the operation of each of its letters."""
-        low = token.lower()
-        cased = token[:1].isupper()
-        got = self.memory.get((low, cased))
-        if got is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            got = self.memory[low, cased] = self._edit(low, cased)
-        return got
-
-    def _edit(self, w: str, cased: bool) -> tuple[str, tuple[str, ...]]:
-        if w in self.lexicon or len(w) > 40 or not any(c.isalpha() for c in w):
-            return w, ("=",) * len(w)
-        found = self.lexicon.candidates(w)
-        best: tuple[float, list[str]] | None = None
-        for cost, _, ops in found:
-            picked = [self.letters.best(letter_features(w, i, False, cost, cased), ["=", op] if op != "=" else ["="]) for i, op in enumerate(ops)]
-            if picked == ops and (best is None or cost < best[0]):
-                best = (cost, ops)
-        if best is not None:
-            return apply_ops(w, best[1]), tuple(best[1])
-        ops = ["="] * len(w)
-        for i, c in enumerate(w):
-            inside = 0 < i and w[i - 1].isalpha() and (i + 1 == len(w) or w[i + 1].isalpha())
-            if inside and not c.isalpha() and c in "0169!|":
-                ops[i] = "r" + {"0": "o", "1": "l", "6": "b", "9": "g", "!": "i", "|": "l"}[c]
-        return apply_ops(w, ops), tuple(ops)
-
-    def joined(self, left: str, right: str) -> bool:
-        """Whether a line ending in left (mark included) goes on with right."""
-        return self.joins.best(join_features(left, right, self.lexicon), ["keep", "join"]) == "join"
-
-    def doubtful(self, confidence: float | None) -> bool:
-        known = confidence is not None and confidence == confidence
-        return known and self.confidence.best(confidence_features(confidence), ["clean", "misread"]) == "misread"
+def answer(editor: E.Editor, q: str, count: int, names: dict[str, int]) -> dict:
+    word, flags = q[: q.rindex("\t")], q[q.rindex("\t") :]
+    cased = "^" in flags
+    if E.BREAK in word:
+        left, rest = word.split(E.BREAK, 1)
+        _, joined, text, ops, _ = editor.breaks(left, rest[:1], rest[1:], count, (cased, ">" in flags), names)[0]
+    else:
+        joined, (text, ops) = None, editor.edit(word, count, cased, names)
+    return {"q": q, "text": text, "ops": list(ops), "joined": joined, "there": text in editor.known or text != word and text in names}
 
 
 def confidence_features(confidence: float | None) -> list[str]:
@@ -287,16 +227,30 @@ def confidence_features(confidence: float | None) -> list[str]:
     return ["any", f"b{min(99, int(confidence * 100))}", *[f"<{k}" for k in range(80, 100, 2) if confidence * 100 < k]]
 
 
+def doubtful(confidence: float | None, trust: Perceptron) -> bool:
+    known = confidence is not None and confidence == confidence
+    return known and trust.best(confidence_features(confidence), ["clean", "misread"]) == "misread"
+
+
 def core_of(token: str) -> str:
     return _EDGE.sub("", token)
 
 
-def join_features(left: str, right: str, lexicon: Lexicon) -> list[str]:
-    mark, a, b = left[-1:], core_of(left[:-1]).lower(), core_of(right).lower()
-    whole = a + b
-    known = "lex" if whole in lexicon else "near" if whole and lexicon.candidates(whole) else "not"
-    ka, kb = a in lexicon, b in lexicon
-    return [f"m{mark}", f"w{known}", f"a{ka}", f"b{kb}", f"{known}{ka}{kb}", f"{known}{ka}{kb}{left[:1].isupper()}", f"b={b}", f"{known}{right[:1].isupper()}"]
+def pieces_of(core: str, known: set[str]) -> list[str]:
+    """The words of a token; a hyphen divides words, and an apostrophe those of Latin letters, but in a known word."""
+    return [core] if core.lower() in known or _SHELF.search(core) else re.split(r"(['’-])" if core[:1].isascii() else r"(-)", core)
+
+
+def parts_of(left: str, right: str) -> tuple[str, str, str, str]:
+    """What stands in front of the word that a break divides, its two parts in lower case, and what follows it."""
+    stem, rest = core_of(left[:-1]), core_of(right)
+    a = re.split(r"['’-]" if stem[:1].isascii() else "-", stem)[-1]
+    b = re.split(r"['’-]" if rest[:1].isascii() else "-", rest)[0]
+    return stem[: len(stem) - len(a)], a.lower(), b.lower(), rest[len(b) :]
+
+
+def is_word(piece: str) -> bool:
+    return any(c.isalpha() for c in piece) and not _SHELF.search(piece)
 
 
 def break_parts(text: str) -> str | None:
@@ -308,14 +262,14 @@ def break_parts(text: str) -> str | None:
 
 
 def part_edited(part: str, ops: tuple[str, ...]) -> str:
-    """A part of a broken word with its letters' operations applied."""
-    if all(op == "=" for op in ops):
+    """A part of a word with its letters' operations applied."""
+    if unchanged(part.lower(), ops):
         return part
-    new = apply_ops(part.lower(), list(ops))
+    new = "".join(ops)
     return new.capitalize() if part[:1].isupper() else new
 
 
-def examine(lines: list[str], confidence: list, kinds: list[str], before: str | None, after: str | None, editor: Editor) -> tuple[list[set[str]], list[str], list[bool]]:
+def examine(lines: list[str], confidence: list, kinds: list[str], before: str | None, after: str | None, answers: Answers | Asked, trust: Perceptron) -> tuple[list[set[str]], list[str], list[bool]]:
     """For the lines of a page: kinds of each, repaired text of each, and whether each joins the next body line.
 
     before and after: the last body line of the page before and the first of the page after.
@@ -327,18 +281,19 @@ def examine(lines: list[str], confidence: list, kinds: list[str], before: str |
     taken: str | None = None  # the first token, repaired, if it belongs to a word of the line before
     if before is not None and body and (part := break_parts(before)) is not None:
         first = (_TOKEN.findall(lines[body[0]]) or [""])[0]
-        if first and editor.joined(part, first):
+        joined, _, ops, _ = answers.broken(part, first) if first else (False, "", (), True)
+        if joined:
             rest = core_of(first)
-            ops = editor.edit(core_of(part[:-1]) + rest)[1][len(core_of(part[:-1])) :]  # its word is looked at again from the line before
+            ops = ops[len(core_of(part[:-1])) :]
             taken = first.replace(rest, part_edited(rest, ops), 1) if rest else first
-            if any(op != "=" for op in ops):
+            if not unchanged(rest.lower(), ops):
                 out[body[0]].add("misread")
     for at, i in enumerate(body):
         tokens, strange = _TOKEN.findall(lines[i]), False
         nxt = lines[body[at + 1]] if at + 1 < len(body) else after
         part = break_parts(lines[i])
         first = (_TOKEN.findall(nxt) or [""])[0] if nxt else ""
-        joins[i] = part is not None and bool(first) and editor.joined(part, first)
+        joins[i], _, ops, there = answers.broken(part, first) if part is not None and first else (False, "", (), True)
         made, follow = [], None
         for k, token in enumerate(tokens):
             if k == 0 and taken is not None:
@@ -349,34 +304,29 @@ def examine(lines: list[str], confidence: list, kinds: list[str], before: str |
             core = core_of(token)
             if k == len(tokens) - 1 and joins[i]:
                 stem, rest = core_of(token[:-1]), core_of(first)
-                word, ops = editor.edit(stem + rest)
-                strange |= word not in editor.lexicon
-                if any(op != "=" for op in ops[: len(stem)]):
+                head, tail = ops[: len(stem)], ops[len(stem) :]
+                strange |= not there
+                if not unchanged(stem.lower(), head):
                     out[i].add("misread")
-                if at + 1 < len(body) and any(op != "=" for op in ops[len(stem) :]):
+                if at + 1 < len(body) and not unchanged(rest.lower(), tail):
                     out[body[at + 1]].add("misread")
-                made.append(token.replace(stem, part_edited(stem, ops[: len(stem)]), 1) if stem else token)
-                follow = first.replace(rest, part_edited(rest, ops[len(stem) :]), 1) if rest else first
+                made.append(token.replace(stem, part_edited(stem, head), 1) if stem else token)
+                follow = first.replace(rest, part_edited(rest, tail), 1) if rest else first
                 continue
-            pieces = [core] if core.lower() in editor.lexicon else re.split(r"(['’])", core) if core[:1].isascii() else [core]
             new = []
-            for piece in pieces:
-                if not any(c.isalpha() for c in piece) or re.search(r"[A-Z]{2,}-[A-Z]?\d|\d[.\d]*\d", piece):
-                    new.append(piece)
-                    continue
-                word, ops = editor.edit(piece)
-                strange |= word not in editor.lexicon
-                if any(op != "=" for op in ops):
-                    out[i].add("misread")
-                    word = word.capitalize() if piece[:1].isupper() else word
-                    new.append(word)
-                else:
-                    new.append(piece)
+            for piece in pieces_of(core, answers.known):
+                if is_word(piece):
+                    text, letters, known = answers.edit(piece)
+                    strange |= not known
+                    if text != piece.lower():
+                        out[i].add("misread")
+                        piece = part_edited(piece, letters)
+                new.append(piece)
             made.append(token.replace(core, "".join(new), 1) if core else token)
         fixed[i] = " ".join(made)
         if joins[i]:
             out[i].add("hyphen_break")
-        if strange and editor.doubtful(confidence[i]):  # a name or another word that cannot be judged by its letters
+        if strange and doubtful(confidence[i], trust):  # a name or another word that cannot be judged by its letters
             out[i].add("misread")
         taken = follow
     return out, fixed, joins
@@ -407,24 +357,72 @@ def paragraphs(fixed: list[str], kinds: list[str], joins: list[bool], started: s
     return out
 
 
-def inner_words(text: str) -> list[str]:
-    """The words of a line but its first and last, which may be parts of words."""
-    tokens = [core_of(t) for t in _TOKEN.findall(text)]
-    return [t for t in tokens[1:-1] if t and not any(c.isdecimal() for c in t[:1]) and t.isprintable()]
+def inner_words(text: str, known: set[str]) -> list[str]:
+    """The words of a line but its first and last tokens, which may be parts of words."""
+    return [p for t in _TOKEN.findall(text)[1:-1] for p in pieces_of(core_of(t), known) if is_word(p)]
+
+
+def made_breaks(lines: list[str], counts: dict[str, int], r: random.Random) -> list[tuple[str, str, str, tuple[bool, bool], int, bool]]:
+    """(left, mark, right, capitals of both, how often they as one word stand in other lines, joined) of breaks whose truth is known: words inside lines broken anywhere, words inside
+    lines with a mark put after them, and words inside lines that bear one.
+    """
+    out = []
+    for text in lines:
+        tokens = _TOKEN.findall(text)[1:-1]
+        for a, b in zip(tokens, tokens[1:]):
+            left, right = re.split("['’-]", core_of(a))[-1], re.split("['’-]", core_of(b))[0]
+            if not (left and right and is_word(left) and is_word(right)):
+                continue
+            if a[-1] in _MARKS and a[-2:-1].isalpha():
+                out.append((core_of(a[:-1]).lower(), a[-1], right.lower(), (a[:1].isupper(), right[:1].isupper()), 0, False))
+            elif r.random() < 0.05:
+                out.append((left.lower(), r.choice("-¬‐"), right.lower(), (left[:1].isupper(), right[:1].isupper()), counts.get((left + right).lower(), 0), False))
+            elif len(left) >= 4 and left.isalpha() and r.random() < 0.25:
+                at = r.randrange(2, len(left) - 1)
+                out.append((left[:at].lower(), r.choice("-¬‐"), left[at:].lower(), (left[:1].isupper(), left[at].isupper()), max(0, counts.get(left.lower(), 1) - 1), True))
+    return out
+
 
+def trust_examples(lines: list[tuple[str, float | None]], editor: E.Editor, counts: dict[str, int], r: random.Random) -> list[tuple[list[str], list[str], str]]:
+    """What a line's confidence tells of words that cannot be judged by their letters, learned from words that can.
 
-def unknown_word(w: str, known: set[str]) -> bool:
-    return w not in known and any(c.isalpha() for c in w) and len(w) <= 40
+    A misread word is as likely to be an unlisted one as any word, so of the lines with a word the editor repairs the share
+    that unlisted words have among all words is taken; against them stand the lines with unlisted words and nothing to repair.
+    """
+    memory: dict[tuple[str, bool], tuple[bool, bool]] = {}
+    repaired, strange, total, unlisted = [], [], 0, 0
+    for text, confidence in lines:
+        found = []
+        for w in inner_words(text, editor.known):
+            key = (w.lower(), w[:1].isupper())
+            if key not in memory:
+                new = editor.edit(key[0], counts.get(key[0], 1), key[1])[0]
+                memory[key] = (new != key[0], new in editor.known)
+            found.append(memory[key])
+        total += len(found)
+        names = sum(not known for _, known in found)
+        unlisted += names
+        if any(x for x, _ in found):
+            repaired.append(confidence)
+        elif names:
+            strange.append(confidence)
+    some = r.sample(repaired, -(-len(repaired) * unlisted // max(1, total)))
+    out = [(confidence_features(c), ["clean", "misread"], k) for c, k in [(c, "misread") for c in some] + [(c, "clean") for c in strange]]
+    r.shuffle(out)
+    return out
 
 
-def explains(w: str, cost: float, k: int, cased: bool) -> bool:
-    """Whether a misreading of that cost explains an unknown word of k lines."""
-    gold = cost <= (1.0 if len(w) >= 4 else 0.5) or (cost <= 1.3 and len(w) >= 7) or (len(w) >= 8 and cost <= 2.0)
-    return gold and not (cased and k > 3 and cost > 1.0)
+def list_of(words: DataFrame) -> set[str]:
+    """The words of a list, in lower case; the list goes to every task, so it may hold LIST_WORDS at most."""
+    known = words.filter("word IS NOT NULL").select(F.lower("word").alias("w")).distinct()
+    n = known.count()
+    if n > LIST_WORDS:
+        raise ValueError(f"a word list may hold {LIST_WORDS} words, this one holds {n}")
+    return {r.w for r in known.toLocalIterator()}
 
 
-def names_of(lines: DataFrame, known: set[str]) -> set[str]:
-    """The unknown words of NAME_LINES lines and more that no misreading explains, counted over all lines."""
+def count_words(lines: DataFrame, known: set[str]) -> DataFrame:
+    """(w, k, cased): in how many lines every word stands inside, over all lines (column text), and whether ever with a capital."""
     sent = lines.sparkSession.sparkContext.broadcast(known)
 
     def split(batches):
@@ -432,94 +430,72 @@ def names_of(lines: DataFrame, known: set[str]) -> set[str]:
             words, cased = [], []
             for text in batch.column(0).to_pylist():
                 found: dict[str, bool] = {}
-                for t in inner_words(text):
-                    if unknown_word(low := t.lower(), sent.value):
-                        found[low] = found.get(low, False) or t[:1].isupper()
+                for t in inner_words(text, sent.value):
+                    found[t.lower()] = found.get(t.lower(), False) or t[:1].isupper()
                 words += found
                 cased += found.values()
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(cased, pa.bool_())], names=["w", "cased"])
 
-    def unexplained(batches):
-        lexicon = Lexicon(sent.value)
+    return lines.select("text").mapInArrow(split, "w string, cased boolean").groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.bool_or("cased").alias("cased"))
+
+
+def like_names(asked: DataFrame, counted: DataFrame, sent) -> DataFrame:
+    """(w, names): for unknown words of asked (w, k) the frequent unknown words they differ from in one place.
+
+    names: array of (name, n) of words that stand in NAME_LINES lines and more and in ten times as many as w. Words meet by what
+    is left of them without one or two neighbouring letters, so no word is compared with all others.
+    """
+
+    def keyed(batches):
+        for batch in batches:
+            w, n, keys = [], [], []
+            for x, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(x) >= 4 and x not in sent.value:
+                    parts = E.shortened(x)
+                    w += [x] * len(parts)
+                    n += [k or 0] * len(parts)
+                    keys += parts
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(keys, pa.string())], names=["w", "n", "key"])
+
+    def verified(batches):
         for batch in batches:
-            keep = []
-            for w, k, cased in zip(*(c.to_pylist() for c in batch.columns)):
-                found = lexicon.candidates(w)
-                if not found or not explains(w, found[0][0], k, cased):
-                    keep.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], names=["w"])
+            keep = [E.one_place(w, x) for w, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    counted = lines.select("text").mapInArrow(split, "w string, cased boolean").groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.bool_or("cased").alias("cased"))
-    return {x.w for x in counted.filter(F.col("k") >= NAME_LINES).mapInArrow(unexplained, "w string").toLocalIterator()}
+    schema = "w string, n bigint, key string"
+    rare = asked.groupBy("w").agg(F.max("k").alias("k")).mapInArrow(keyed, schema)
+    names = counted.filter(F.col("k") >= NAME_LINES).select("w", "k").mapInArrow(keyed, schema).select(F.col("w").alias("name"), F.col("n").alias("m"), "key")
+    pairs = rare.join(names, "key").filter((F.col("w") != F.col("name")) & (F.col("n") * 10 <= F.col("m"))).groupBy("w", "name").agg(F.max("m").alias("n"))
+    pairs = pairs.mapInArrow(verified, "w string, name string, n bigint")
+    return pairs.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("names"))
 
 
-def train_editor(lines: DataFrame, words: DataFrame) -> Editor:
-    """Train on a bounded sample of lines (text, confidence) and the most frequent words of a list.
+def train_editor(lines: DataFrame, counted: DataFrame, known: set[str]) -> tuple[E.Editor, Perceptron]:
+    """The character editor and the perceptron that judges confidences.
 
-    Words of the list are to be kept as they are; an unknown token that a cheap misreading of one known word
-    explains is an example of its operations; unknown tokens of several lines that nothing explains are names, which
-    are counted over all lines (see names_of()) and all join the lexicon.
-    Marks at line ends are examples by what the two parts make. Lines of known words only are clean, lines with an
-    explained misreading are not: of these the use of the confidence is learned.
+    lines: text, confidence and line_id of body lines; counted: count_words(). Listed words come with their counts over all
+    lines; of unknown words and of lines bounded samples are taken by a hash (TRAIN_UNKNOWN, TRAIN_LINES).
     """
-    top = words.filter("word IS NOT NULL").groupBy(F.lower("word").alias("w")).agg(F.max("tf").alias("tf")).orderBy(F.desc_nulls_last("tf"), "w").limit(LEXICON_WORDS)
-    known = {r.w for r in top.toLocalIterator()}
-    lexicon = Lexicon(known)
-    names = names_of(lines, known)
-    n = lines.count()
-    some = lines if n <= TRAIN_LINES else lines.filter(F.pmod(F.xxhash64("line_id"), F.lit(1_000_000)) < int(1_000_000 * TRAIN_LINES / n)).limit(2 * TRAIN_LINES)
-    counts: Counter = Counter()
-    kept = []
-    for r in some.select("text", "confidence").toLocalIterator():
-        inner = inner_words(r.text)
-        kept.append((r.text, r.confidence, inner))
-        counts.update({t.lower() for t in inner})
-    cased = {t.lower() for _, _, inner in kept for t in inner if t[:1].isupper()}
-    examples, explained = [], set()
-    for w in sorted(known):
-        examples += [(letter_features(w, i, True, 0, False), ["=", "d"], "=") for i in range(len(w))]
-    for w, k in sorted(counts.items()):
-        if not unknown_word(w, known):
-            continue
-        found = lexicon.candidates(w)
-        if not found:
-            continue
-        cost, _, ops = found[0]
-        gold = w not in names and explains(w, cost, k, w in cased)
-        if gold:
-            explained.add(w)
-        for i, op in enumerate(ops):
-            if op != "=":
-                examples.append((letter_features(w, i, False, cost, w in cased), ["=", op], op if gold else "="))
-    letters = Perceptron()
-    letters.train(examples, EPOCHS)
-    whole = Lexicon(known | names)
-    marks = []
-    pairs = lines.filter("mark IS NOT NULL AND follow IS NOT NULL")
-    m = pairs.count()
-    if m > TRAIN_LINES:
-        pairs = pairs.filter(F.pmod(F.xxhash64("line_id"), F.lit(1_000_000)) < int(1_000_000 * TRAIN_LINES / m)).limit(2 * TRAIN_LINES)
-    for r in pairs.select("mark", "follow").toLocalIterator():
-        a, b = core_of(r.mark[:-1]).lower(), core_of(r.follow).lower()
-        if a + b in whole:
-            gold = "join"
-        elif a in known or b in known:
-            gold = "join" if lexicon.candidates(a + b) and not (a in known and b in known) else "keep"
+    spark = lines.sparkSession
+    listed = spark.createDataFrame([(w,) for w in sorted(known)], "w string")
+    is_known = counted.join(listed.withColumn("listed", F.lit(True)), "w", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    totals = {r.listed: r.n for r in is_known.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = min(1.0, E.TRAIN_UNKNOWN / max(1, totals.get(False, 0)))
+    rows = is_known.filter(F.col("listed") | hashed_share(["w"], share)).orderBy("w").toLocalIterator()
+    counts, unknown = dict.fromkeys(known, 0), {}
+    for r in rows:
+        if r.listed:
+            counts[r.w] = r.k
         else:
-            gold = "join"
-        marks.append((join_features(r.mark, r.follow, whole), ["keep", "join"], gold))
-    joins = Perceptron()
-    joins.train(marks, EPOCHS)
-    graded = []
-    for _, c, inner in kept:
-        low = [t.lower() for t in inner]
-        if any(t in explained for t in low):
-            graded.append((confidence_features(c), ["clean", "misread"], "misread"))
-        elif low and all(t in known or t in names for t in low):
-            graded.append((confidence_features(c), ["clean", "misread"], "clean"))
+            unknown[r.w] = (r.k, r.cased)
+    n = lines.count()
+    some = lines.filter(hashed_share(["line_id"], min(1.0, TRAIN_LINES / max(1, n)))).select("line_id", "text", "confidence")
+    sample = [(r.text, r.confidence) for r in sorted(some.toLocalIterator(), key=lambda r: (r.line_id, r.text))]
+    every = {w: k for w, (k, _) in unknown.items()} | counts
+    editor = E.train(counts, unknown, made_breaks([t for t, _ in sample[:BREAK_LINES]], every, random.Random(4)))
     trust = Perceptron()
-    trust.train(graded, EPOCHS)
-    return Editor(known | names, letters.w, joins.w, trust.w)
+    trust.train(trust_examples(sample, editor, every, random.Random(8)), 4 * EPOCHS)
+    return editor, trust
 
 
 PAGE_SCHEMA = "ms string, page int, page_key string, lines array<struct<line_idx:int,line_id:bigint,text:string,confidence:double>>"
@@ -546,12 +522,14 @@ def pages_of(lines: DataFrame) -> DataFrame:
 def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
     """One row per page: ms, page, page_key, found (array of line_id, kind) and paragraphs (line_id, continues, text, joined).
 
-    Pages are made of their lines; the running titles and the offsets of page numbers that repeat in a volume are
-    counted over all pages and meet the pages that have them; the most frequent titles, with which misread ones are
-    compared, meet the pages salted; the body lines at a page's end and start are looked up from the
-    nearest pages with body lines. Then every page is worked on by itself. See pages_of() for nulls and repeated rows.
+    Pages are made of their lines. The title forms and the offsets of page numbers that repeat in a volume are counted over
+    all pages and meet the pages that have them; a perceptron tells furniture by place and repetition. The body lines at a
+    page's end and start are looked up from the nearest pages with body lines. Every different word and break of the pages,
+    with its count over all lines, is put to the character editor once, and the answers that change something or concern
+    unknown words go back to the pages. Then every page is worked on by itself. See pages_of() for nulls and repeated rows.
     """
     pages = cut(pages_of(lines), "pages")
+    context = lines.sparkSession.sparkContext
 
     def count(batches):
         for batch in batches:
@@ -564,58 +542,91 @@ def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ms, pa.string()), pa.array(at, pa.int64()), pa.array(keys, pa.string())], names=["ms", "at", "k"])
 
     keys = cut(pages.mapInArrow(count, "ms string, at bigint, k string"), "keys")
-    counted = keys.groupBy("ms", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEAD_PAGES)
-    place = F.row_number().over(Window.partitionBy("ms").orderBy(F.desc("n"), "k"))
-    repeated = counted.select(F.col("ms").alias("cms"), F.col("k").alias("ck"))
+    repeated = keys.groupBy("ms", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEAD_PAGES).select(F.col("ms").alias("cms"), F.col("k").alias("ck"))
     own = keys.join(repeated, F.col("ms").eqNullSafe(F.col("cms")) & (F.col("k") == F.col("ck"))).groupBy("at").agg(F.sort_array(F.collect_set("k")).alias("own"))
-    heads = counted.filter("k NOT LIKE '#%'").withColumn("place", place).filter(F.col("place") <= HEADS).groupBy("ms").agg(F.sort_array(F.collect_list("k")).alias("heads"))
-    heads = heads.select(F.col("ms").alias("hms"), "heads", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("hsalt"))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
-    met = salted.join(heads, F.col("ms").eqNullSafe(F.col("hms")) & (F.col("salt") == F.col("hsalt")), "left")
-    met = met.withColumn("at", F.col("lines")[0]["line_id"]).join(own, "at", "left")
-    none = F.array().cast("array<string>")
-    met = met.select("ms", "page", "page_key", "lines", F.array_union(F.coalesce("own", none), F.coalesce("heads", none)).alias("heads"))
+    met = pages.withColumn("at", F.col("lines")[0]["line_id"]).join(own, "at", "left")
+    met = cut(met.select("ms", "page", "page_key", "lines", F.coalesce("own", F.array().cast("array<string>")).alias("own")), "met", drop=keys)
+    release(pages)
+    r, examples = random.Random(6), []
+    n = met.count()
+    few = met.filter(hashed_share(["ms", "page", "page_key"], min(1.0, TRAIN_PAGES / max(1, n)))).select("ms", "page", "page_key", F.transform("lines", lambda x: x["text"]).alias("texts"), "own")
+    for row in sorted(few.toLocalIterator(), key=lambda x: (x.ms or "", x.page, x.page_key or "")):
+        examples += furniture_examples(row.page, row.texts, set(row.own), r)
+    layout = Perceptron()
+    layout.train(examples, EPOCHS)
+    sent_layout = context.broadcast(layout)
 
     def classify(batches):
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(5)]
             kinds, first, last = [], [], []
-            for p, ls, heads in zip(cols[1], cols[3], cols[4]):
+            for p, ls, own in zip(cols[1], cols[3], cols[4]):
                 texts = [x["text"] for x in ls]
-                k = furniture(p, texts, heads or [])
+                k = furniture(p, texts, set(own), sent_layout.value)
                 body = [t for t, x in zip(texts, k) if x == "body" and t]
                 kinds.append(k)
                 first.append(body[0] if body else None)
                 last.append(body[-1] if body else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(kinds, pa.list_(pa.string())), pa.array(first, pa.string()), pa.array(last, pa.string())], names=["ms", "page", "page_key", "lines", "kinds", "head", "tail"])
 
-    ready = met.mapInArrow(classify, PAGE_SCHEMA + ", kinds array<string>, head string, tail string")
-    ready = cut(ready, "kinds")
+    ready = cut(met.mapInArrow(classify, PAGE_SCHEMA + ", kinds array<string>, head string, tail string"), "kinds", drop=met)
     columns = ["ms", "page", "page_key", "lines", "kinds"]
     bare = ready.filter("tail IS NULL").select(*columns, *(F.lit(None).cast("string").alias(c) for c in ("next_head", "prev_tail")))
-    ready = with_neighbours(ready.filter("tail IS NOT NULL"), "ms", ["page", "page_key"], ["head", "tail"])
-    ready = cut(ready.select(*columns, "next_head", "prev_tail").unionByName(bare), "pages")
-    lines_of_body = F.filter(F.zip_with("lines", "kinds", lambda x, k: x.withField("kind", k)), lambda x: x["kind"] == "body")
-    follow = ready.select(lines_of_body.alias("all")).select("all", F.posexplode("all").alias("i", "x"))
-    next_text = F.get("all", F.col("i") + 1)["text"]
-    train = follow.select("x.line_id", "x.text", "x.confidence", F.nullif(F.regexp_extract("x.text", r"(\S*\p{L}[-¬\x{ad}‐‑=⸗])\s*$", 1), F.lit("")).alias("mark"), F.nullif(F.regexp_extract(next_text, r"^\s*(\S+)", 1), F.lit("")).alias("follow"))
-    editor = train_editor(train, words)
-    sent = lines.sparkSession.sparkContext.broadcast((editor.lexicon.words, editor.letters.w, editor.joins.w, editor.confidence.w))
+    beside = with_neighbours(ready.filter("tail IS NOT NULL"), "ms", ["page", "page_key"], ["head", "tail"])
+    ready = cut(beside.select(*columns, "next_head", "prev_tail").unionByName(bare).withColumn("at", F.col("lines")[0]["line_id"]), "pages", drop=ready)
+    body = F.filter(F.zip_with("lines", "kinds", lambda x, k: x.withField("kind", k)), lambda x: x["kind"] == "body")
+    body = ready.select(F.explode(body).alias("x")).select("x.line_id", "x.text", "x.confidence")
+    known = list_of(words)
+    counted = cut(count_words(body, known), "counted")
+    editor, trust = train_editor(body, counted, known)
+    sent, sent_known, sent_trust = context.broadcast((editor.known, editor.becomes, editor.w)), context.broadcast(known), context.broadcast(trust)
+
+    def ask(batches):
+        for batch in batches:
+            at, questions = [], []
+            for page, ls, kinds, after, before in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                asked = set()
+                for join in (True, False):
+                    note = Asked(sent_known.value, join)
+                    examine([x["text"] for x in ls], [None] * len(ls), kinds, before, after, note, sent_trust.value)
+                    asked |= note.questions
+                at += [page] * len(asked)
+                questions += sorted(asked)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(questions, pa.string())], names=["at", "q"])
+
+    asked = cut(ready.select("at", "lines", "kinds", "next_head", "prev_tail").mapInArrow(ask, "at bigint, q string"), "asked")
+    answer_type = pa.struct([("q", pa.string()), ("text", pa.string()), ("ops", pa.list_(pa.string())), ("joined", pa.bool_()), ("there", pa.bool_())])
+    answer_schema = "struct<q:string,text:string,ops:array<string>,joined:boolean,there:boolean>"
+
+    def reply(batches):
+        own = E.Editor(*sent.value)
+        for batch in batches:
+            out = [answer(own, q, k or 0, {x["name"]: x["n"] for x in names or []}) for q, k, names in zip(*(c.to_pylist() for c in batch.columns))]
+            out = [x for x in out if x["joined"] is not None or not x["there"] or x["text"] != x["q"][: x["q"].rindex("\t")]]
+            yield pa.RecordBatch.from_arrays([pa.array([x["q"] for x in out], pa.string()), pa.array(out, answer_type)], names=["q", "x"])
+
+    word = F.regexp_replace(F.regexp_replace("q", "\t.*$", ""), "\n.", "")
+    different = cut(asked.select("q").distinct().withColumn("w", word).join(counted.select("w", "k"), "w", "left"), "different")
+    names = like_names(different, counted, sent_known)
+    different = different.join(names, "w", "left").select("q", "k", "names")
+    tasks = max(1, min(context.defaultParallelism * 4, different.sparkSession.conf.get("spark.sql.shuffle.partitions") and int(different.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    answers = cut(different.repartition(tasks, "q").mapInArrow(reply, f"q string, x {answer_schema}"), "answers", drop=counted)
+    given = asked.join(answers, "q").groupBy("at").agg(F.collect_list("x").alias("answers"))
     found_type = pa.list_(pa.struct([("line_id", pa.int64()), ("kind", pa.string())]))
     text_type = pa.list_(pa.struct([("line_id", pa.int64()), ("continues", pa.bool_()), ("text", pa.string()), ("joined", pa.bool_())]))
 
     def work(batches):
-        own = Editor(*sent.value)
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in (3, 4, 5, 6)]
+            cols = [batch.column(i).to_pylist() for i in range(3, 8)]
             found, texts = [], []
-            for ls, kinds, after, before in zip(*cols):
-                out, fixed, joins = examine([x["text"] for x in ls], [x["confidence"] for x in ls], kinds, before, after, own)
+            for ls, kinds, after, before, rows in zip(*cols):
+                out, fixed, joins = examine([x["text"] for x in ls], [x["confidence"] for x in ls], kinds, before, after, Answers(sent_known.value, rows or []), sent_trust.value)
                 found.append([{"line_id": x["line_id"], "kind": k} for x, ks in zip(ls, out) for k in sorted(ks)])
                 texts.append([{"line_id": ls[i]["line_id"], "continues": c, "text": t, "joined": j} for i, c, t, j in paragraphs(fixed, kinds, joins, before)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, found_type), pa.array(texts, text_type)], names=["ms", "page", "page_key", "found", "paragraphs"])
 
-    return ready.mapInArrow(work, "ms string, page int, page_key string, found array<struct<line_id:bigint,kind:string>>, paragraphs array<struct<line_id:bigint,continues:boolean,text:string,joined:boolean>>")
+    full = ready.join(given, "at", "left").select(*columns, "next_head", "prev_tail", "answers")
+    return full.mapInArrow(work, "ms string, page int, page_key string, found array<struct<line_id:bigint,kind:string>>, paragraphs array<struct<line_id:bigint,continues:boolean,text:string,joined:boolean>>")
 
 
 def continuous(pages: DataFrame) -> DataFrame:

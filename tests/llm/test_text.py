@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm import languages as L, ocr as O
+from quire.llm import editor as E, languages as L, ocr as O
 from quire.llm.bigru import BiGRU
 from quire.llm.perceptron import Perceptron
 
@@ -92,16 +92,100 @@ def test_perceptron():
     assert p.train(data, 4) == 1.0 and p.best(["ca"], ["=", "x"]) == "x" and p.best(["unseen"], ["=", "x"]) == "="
 
 
-def test_ocr_parts():
-    assert O.apply_ops("notecl", O.align("notecl", "noted")[1]) == "noted" and O.align("notecl", "noted")[0] == 1.0
-    for w, x in (("smoll", "small"), ("srnall", "small"), ("certam", "certain"), ("iiiner", "inner"), ("th", "the"), ("a", "ba")):
-        assert O.apply_ops(w, O.align(w, x)[1]) == x
-    assert [O.number_in(t)[0] for t in ("- 157 -", "[l36]", ". 9", "p. 12", "cxlvi", "דף קפד", "1063.", "red.", "")] == [157, 136, 9, 12, 146, 184, None, None, None]
-    lines = ["THE OLD BOOK", "first line of text here", "12"]
-    heads = [k for k in O.first_pass(3, lines)]
-    assert O.furniture(3, lines, heads) == ["header", "body", "page_number"]
-    assert O.furniture(3, ["THE 0LD BOOK", "x y"], ["the old book"]) == ["header", "body"]
-    assert O.furniture(1, [], []) == []
+def test_numbers_and_titles():
+    assert [O.number_in(t)[0] for t in ("- 157 -", "[l36]", ". 9", "p. 12", "cxlvi", "דף קפד", "1063.", "1234567", "red.", "")] == [157, 136, 9, 12, 146, 184, None, 1234567, None, None]
+    keys = set(O.first_pass(3, ["THE OLD BOOK", "first line of text here", "12"]))
+    assert "the old book" in keys and "#9" in keys and "~the _ book" in keys
+    assert set(O.near_keys(O.title_keys("THE 0LD BOOK"))) & keys and not set(O.title_keys("THE 0LD BOOK")) & keys
+    assert O.title_keys("Leaf 12 of the book") == []
+
+
+def test_furniture_is_learned():
+    r = random.Random(3)
+    words = "river stone letter garden window silver winter paper corner little between another morning".split()
+    page = lambda p: [f"The Book of Gardens {p + 40}" if p % 2 else f"{p + 40} The Book of Rivers", *[" ".join(r.choice(words) for _ in range(7)) for _ in range(9)], f"- {p + 40} -"]
+    pages = {p: page(p) for p in range(1, 41)}
+    counts = {}
+    for p, lines in pages.items():
+        for k in O.first_pass(p, lines):
+            counts[k] = counts.get(k, 0) + 1
+    own = lambda p, lines: {k for k in O.first_pass(p, lines) if counts.get(k, 0) >= 2}
+    model = Perceptron()
+    model.train([x for p, lines in pages.items() for x in O.furniture_examples(p, lines, own(p, lines), r)], 5)
+    for p, lines in pages.items():
+        assert O.furniture(p, lines, own(p, lines), model) == ["header", *["body"] * 9, "page_number"]
+    lines = ["The Bock of Gardens 47", *pages[7][1:]]
+    assert O.furniture(7, lines, own(7, lines), model)[0] == "header"
+    assert O.furniture(1, [], set(), model) == []
+
+
+WORDS = "the of and river stone letter garden window silver winter paper corner little between another morning evening mountain horse candle".split()
+
+
+def made_editor():
+    r = random.Random(1)
+    known = {w: 200 + 13 * i for i, w in enumerate(WORDS)}
+    read = {"e": "c", "n": "ii", "m": "rn", "i": "1", "l": "I".lower(), "o": "0", "a": "o"}
+    unknown = {}
+    for w in WORDS:
+        for a, b in read.items():
+            if a in w and a != b:
+                x = w.replace(a, b, 1)
+                if x not in known and len(w) > 3:
+                    unknown[x] = (1 + len(x) % 2, False)
+    unknown |= {n: (25, True) for n in ("tunwyska", "velquin", "skazem", "dorprinu")}
+    pairs = [(w[:k], r.choice("-¬"), w[k:], (False, False), 5, True) for w in WORDS for k in range(2, len(w) - 1)] + [(a, "-", b, (False, False), 0, False) for a in WORDS for b in WORDS[::4]]
+    return E.train(known, unknown, pairs)
+
+
+def test_editor_generates_edits():
+    editor = made_editor()
+    assert all(editor.edit(w, 200)[0] == w for w in WORDS)
+    for w, x in (("gardcn", "garden"), ("rnorning", "morning"), ("wiiidow", "window"), ("l0tter", "lotter"), ("c0rner", "corner"), ("stonc", "stone"), ("mouiitain", "mountain")):
+        text, ops = editor.edit(w, 1)
+        assert "".join(ops) == text
+        if x in WORDS:
+            assert text == x, (w, text)
+    assert editor.edit("tunwyska", 25, True)[0] == "tunwyska" and editor.edit("zzzz", 3)[0] == "zzzz"
+    assert editor.edit("12.")[0] == "12." and editor.edit("")[0] == ""
+    long = "garden" * 12
+    assert editor.edit(long, 1)[0] == long  # of any length
+    assert editor.breaks("mor", "-", "ning", 3, (False, False))[0][1:4] == (True, "morning", tuple("morning"))
+    assert editor.breaks("mo", "¬", "rniiig", 0, (False, False))[0][2] == "morning"
+    assert not editor.breaks("river", "-", "and", 0, (False, False))[0][1]
+
+
+def test_written_undoes_a_misreading():
+    for w, x in (("notecl", "noted"), ("smoll", "small"), ("srnall", "small"), ("certam", "certain"), ("iiiner", "inner"), ("th", "the"), ("tthe", "the"), ("mcrning", "morning")):
+        a, b, at = E.differing(w, x)
+        assert "".join(E.written(w, a, b, at)) == x and E.one_place(w, x)
+
+
+def test_broken_word_is_repaired():
+    known = set("letter garden morning den".split())
+    row = lambda q, text, ops, joined=None: {"q": q, "text": text, "ops": list(ops), "joined": joined, "there": True}
+    rows = [row("mcr\n-ning\t", "morning", ["m", "o", *"rning"], True), row("gar\n-cn\t", "garden", ["g", "a", "rd", "e", "n"], True), row("gard\n-cn\t", "garden", [*"gard", "e", "n"], True)]
+    trust = Perceptron()
+    found, fixed, joins = O.examine(["letter mcr-", "ning, gard-"], [0.9, 0.9], ["body", "body"], None, "cn letter", O.Answers(known, rows), trust)
+    assert fixed == ["letter mor-", "ning, gard-"] and joins == [True, True] and found == [{"hyphen_break", "misread"}, {"hyphen_break"}]
+    assert O.paragraphs(fixed, ["body", "body"], joins, None) == [(0, False, "letter morning, gard", True)]
+    after = O.examine(["cn letter"], [0.9], ["body"], "ning, gard-", None, O.Answers(known, rows), trust)
+    assert after[1] == ["en letter"] and after[0] == [{"misread"}]
+    rows.append(row("gar\n-den\t", "garden", "garden", True))
+    assert O.examine(["gar-", "den-", "letter"], [0.9] * 3, ["body"] * 3, None, None, O.Answers(known, rows), trust)[1][2] == "letter"
+    note = O.Asked(known, True)
+    O.examine(["dell'mor-", "ning's le-tter AB-C1.2"], [0.9] * 2, ["body"] * 2, None, None, note, trust)
+    assert note.questions >= {"mor\n-ning\t"} and not any("ab-c" in q for q in note.questions)
+
+
+def test_words_and_names_are_counted_over_all_lines(spark):
+    rows = [(i, "river stone letter " + ("Zqxwvy" if i % 40 == 0 else "Zqcwvy" if i == 7 else "garden") + " window", 0.97) for i in range(2400)]
+    df = spark.createDataFrame(rows, "line_id bigint, text string, confidence double")
+    known = set("river stone letter garden window".split())
+    counted = O.count_words(df, known)
+    assert {x.w: (x.k, x.cased) for x in counted.collect() if x.w[0] == "z"} == {"zqxwvy": (60, True), "zqcwvy": (1, True)}
+    like = O.like_names(counted.select("w", "k"), counted, spark.sparkContext.broadcast(known)).collect()
+    assert [(x.w, [tuple(y) for y in x.names]) for x in like] == [("zqcwvy", [("zqxwvy", 60)])]
 
 
 def volume(r):
@@ -164,29 +248,6 @@ def test_paragraphs_over_pages(spark):
     assert "silver morning river" in got[0].text and "silver garden river" in got[0].text and got[0].text.endswith("stone letter.")
 
 
-def test_broken_word_is_repaired():
-    known = "letter garden morning".split()
-    editor = O.Editor(set(known), {}, {}, {})
-    editor.joined = lambda left, right: True
-    editor.memory["mcrning", False] = ("morning", ("=", "ro", "=", "=", "=", "=", "="))
-    editor.memory["gardcn", False] = ("garden", ("=", "=", "=", "=", "re", "="))
-    found, fixed, joins = O.examine(["letter mcr-", "ning, gard-"], [0.9, 0.9], ["body", "body"], None, "cn letter", editor)
-    assert fixed == ["letter mor-", "ning, gard-"] and joins == [True, True]
-    assert O.paragraphs(fixed, ["body", "body"], joins, None) == [(0, False, "letter morning, gard", True)]
-    assert O.examine(["cn letter"], [0.9], ["body"], "ning, gard-", None, editor)[1] == ["en letter"]
-    editor.memory["gardening", False] = ("gardening", ("=",) * 9)
-    assert O.examine(["gar-", "den-", "letter"], [0.9] * 3, ["body"] * 3, None, None, editor)[1][2] == "letter"
-
-
-def test_names_are_counted_over_all_lines(spark, monkeypatch):
-    monkeypatch.setattr(O, "TRAIN_LINES", 100)
-    rows = [(i, "river stone letter " + ("Zqxwvy" if i % 400 == 0 else "garden") + " window", 0.97) for i in range(2400)]
-    df = spark.createDataFrame(rows, "line_id bigint, text string, confidence double").withColumns({"mark": F.lit(None).cast("string"), "follow": F.lit(None).cast("string")})
-    wl = spark.createDataFrame([(w, 5) for w in "river stone letter garden window".split()], "word string, tf bigint")
-    editor = O.train_editor(df, wl)
-    assert "zqxwvy" in editor.lexicon and editor.edit("Zqxwvy")[0] == "zqxwvy"
-
-
 def test_volume_of_many_titles(spark):
     r = random.Random(4)
     words = "river stone letter garden window silver winter paper corner little between another morning".split()
