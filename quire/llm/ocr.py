@@ -132,11 +132,14 @@ def line_features(s: dict[str, str], before: list[str]) -> list[str]:
 
 
 def furniture(page: int, lines: list[str], repeated: set[str], model: Perceptron) -> list[str]:
-    """'header', 'page_number' or 'body' for each line of a page; a perceptron decides for the lines at its ends."""
+    """'header', 'page_number' or 'body' for each line of a page; a perceptron decides for the lines at its ends.
+
+    A page has one running title and one page number at most.
+    """
     kinds = ["body"] * len(lines)
     for i in range(len(lines)):
         if i < 3 or i >= len(lines) - 2:
-            kinds[i] = model.best(line_features(line_signs(i, page, lines, repeated), kinds[:i]), KINDS)
+            kinds[i] = model.best(line_features(line_signs(i, page, lines, repeated), kinds[:i]), [k for k in KINDS if k == "body" or k not in kinds])
     return kinds
 
 
@@ -151,7 +154,7 @@ def furniture_examples(page: int, lines: list[str], repeated: set[str], r: rando
             kinds.append("body")
             continue
         s, gold = line_signs(i, page, lines, repeated), None
-        if s["title"] == "exact" and i < 2:
+        if s["title"] == "exact" and i < 2 and "header" not in kinds:
             gold = "header"
             s["title"] = r.choice(["exact", "near"])
         elif s["title"] == "none" and s["number"] != "no" and s["offset"] == "True":
