@@ -90,6 +90,23 @@ def roc_auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     )
 
 
+def average_precision_per_row(rows: DataFrame, score: str, row_id: str, positive: Column) -> DataFrame:
+    """(ap): average precision where every row is a step, by descending score and then row_id.
+
+    Null and NaN scores are left out. Running sums go over score ranges first, then inside each range.
+    """
+    per = rows.filter(F.col(score).isNotNull() & ~F.isnan(score)).select(F.col(score).alias("s"), F.col(row_id).alias("i"), positive.cast("int").alias("p"))
+    ends = per.agg(F.min("s"), F.max("s")).first()
+    low, high = (ends[0] or 0.0), (ends[1] or 0.0)
+    per = per.withColumn("r", F.least(F.floor((F.col("s") - low) / ((high - low) or 1.0) * 1024), F.lit(1023)).cast("int"))
+    above = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = per.groupBy("r").agg(F.sum("p").alias("rp"), F.count(F.lit(1)).alias("rn"))
+    sums = sums.select("r", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias("a" + c) for c in ("rp", "rn")])
+    inside = Window.partitionBy("r").orderBy(F.desc("s"), "i").rowsBetween(Window.unboundedPreceding, 0)
+    out = per.join(F.broadcast(sums), "r").select("p", (F.col("arp") + F.sum("p").over(inside)).alias("hits"), (F.col("arn") + F.count(F.lit(1)).over(inside)).alias("k"))
+    return out.agg((F.sum(F.col("p") * F.col("hits") / F.col("k")) / F.sum("p")).alias("ap"))
+
+
 def best_f1(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     """The threshold of the highest F1, the lowest on a tie: threshold, f1, precision, recall, accuracy."""
     c = _by_score(rows, score, positive)

@@ -41,11 +41,11 @@ def summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def mean_vector(rows: DataFrame, group: str, vector: str, deviation: bool = False) -> DataFrame:
     """(group, n, vec): element-wise mean of the vectors, with deviation followed by the population deviations."""
-    flat = rows.filter(F.col(vector).isNotNull()).select(group, F.posexplode(F.col(vector).cast("array<double>")).alias("p", "x"))
-    aggs = [F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count(F.lit(1)).alias("n")]
-    per = flat.groupBy(group, "p").agg(*aggs).groupBy(group).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("p", "m", "s"))).alias("a"))
-    mean = F.transform("a", lambda x: x["m"])
-    return per.select(group, "n", (F.concat(mean, F.transform("a", lambda x: x["s"])) if deviation else mean).alias("vec"))
+    flat = rows.filter(F.col(vector).isNotNull()).select(F.col(group).alias("_g"), F.posexplode(F.col(vector).cast("array<double>")).alias("_p", "_x"))
+    aggs = [F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"), F.count(F.lit(1)).alias("n")]
+    per = flat.groupBy("_g", "_p").agg(*aggs).groupBy("_g").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("_p", "_m", "_s"))).alias("_a"))
+    mean = F.transform("_a", lambda x: x["_m"])
+    return per.select(F.col("_g").alias(group), "n", (F.concat(mean, F.transform("_a", lambda x: x["_s"])) if deviation else mean).alias("vec"))
 
 
 def require_columns(rows: DataFrame, columns: list[str]) -> DataFrame:

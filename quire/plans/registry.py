@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["skewed_keys", "relational", "retrieval", "graphs", "datasets", "texts", "pages", "io", "words"]
+MODULES = ["skewed_keys", "relational", "retrieval", "graphs", "datasets", "texts", "pages", "io", "words", "listings"]
 FLAGSHIP = "j13_knn_overall"
 
 
