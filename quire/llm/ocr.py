@@ -16,6 +16,8 @@ from quire.session import cut, hashed_share, release, table
 
 #: Bounds of what the perceptrons are trained on: lines, lines of which breaks are made, and pages, taken by a hash; epochs.
 TRAIN_LINES, BREAK_LINES, TRAIN_PAGES, EPOCHS = 16_000, 4000, 800, 5
+#: Tokens a task remembers.
+REMEMBERED = 200_000
 #: Lines in which an unknown word stands that others may be misreadings of.
 NAME_LINES = 5
 #: Pages on which a running title stands at least.
@@ -172,28 +174,52 @@ def unchanged(word: str, ops: tuple[str, ...]) -> bool:
     return "".join(ops) == word
 
 
-class Asked:
-    """Stands in for the answers and notes what is asked; breaks are joined or not, as told."""
+class Reader:
+    """Takes tokens apart; remembers them. What it gives for a token of settled words, which stay as they are, is None."""
 
-    def __init__(self, known: set[str], join: bool):
-        self.known, self.join, self.questions = known, join, set()
+    def __init__(self, settled: set[str]):
+        self.settled, self.memory = settled, {}
 
-    def edit(self, token: str) -> tuple[str, tuple[str, ...], bool]:
-        low = token.lower()
-        self.questions.add(question(low, token[:1].isupper()))
-        return low, tuple(low), True
+    def __call__(self, token: str) -> tuple[str, list[str]] | None:
+        got = self.memory.get(token, 0)
+        if got == 0:
+            core = core_of(token)
+            pieces = pieces_of(core, self.settled)
+            got = None if all(p.lower() in self.settled or not is_word(p) for p in pieces) else (core, pieces)
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            self.memory[token] = got
+        return got
 
-    def broken(self, left: str, right: str) -> tuple[bool, str, tuple[str, ...], bool]:
-        front, a, b, end = parts_of(left, right)
-        self.questions.add(question(a + E.BREAK + left[-1] + b, left[len(front) : len(front) + 1].isupper(), core_of(right)[:1].isupper()))
-        return self.join, a + b, tuple(front.lower() + a + b + end.lower()), True
+
+def page_questions(lines: list[str], kinds: list[str], before: str | None, after: str | None, reader: Reader) -> set[str]:
+    """What examine() may ask of a page: its unsettled words and its breaks, whether these are joined or not."""
+    body = [x for x, k in zip(lines, kinds) if k == "body"]
+    out = set()
+    for text in body:
+        for token in _TOKEN.findall(text):
+            got = reader(token)
+            if got is not None:
+                out |= {question(p.lower(), p[:1].isupper()) for p in got[1] if p.lower() not in reader.settled and is_word(p)}
+    if body:
+        for left, right in zip([before, *body], [*body, after]):
+            part = break_parts(left) if left is not None else None
+            first = _TOKEN.search(right) if part is not None and right is not None else None
+            if first is not None:
+                out.add(break_question(part, first.group()))
+    return out
+
+
+def break_question(left: str, right: str) -> str:
+    front, a, b, _ = parts_of(left, right)
+    return question(a + E.BREAK + left[-1] + b, left[len(front) : len(front) + 1].isupper(), core_of(right)[:1].isupper())
 
 
 class Answers:
-    """The edits of words and breaks that stand on a page. What has no answer is a known word that stays as it is."""
+    """The edits of words and breaks that stand on a page. What has no answer is a word that stays as it is."""
 
-    def __init__(self, known: set[str], rows: list[dict]):
-        self.known, self.rows = known, {x["q"]: x for x in rows}
+    def __init__(self, reader: Reader, rows: list[dict]):
+        self.reader, self.rows = reader, {x["q"]: x for x in rows}
 
     def edit(self, token: str) -> tuple[str, tuple[str, ...], bool]:
         """(text, what is written for each letter, whether it is a known word)."""
@@ -204,7 +230,7 @@ class Answers:
     def broken(self, left: str, right: str) -> tuple[bool, str, tuple[str, ...], bool]:
         """(joined, text of the divided word, what is written for each letter of the tokens, whether it is a known word)."""
         front, a, b, end = parts_of(left, right)
-        x = self.rows.get(question(a + E.BREAK + left[-1] + b, left[len(front) : len(front) + 1].isupper(), core_of(right)[:1].isupper()))
+        x = self.rows.get(break_question(left, right))
         joined, text, ops, there = (False, a + b, tuple(a + b), True) if x is None else (x["joined"], x["text"], tuple(x["ops"]), x["there"])
         return joined, text, (*front.lower(), *ops, *end.lower()), there
 
@@ -272,7 +298,7 @@ def part_edited(part: str, ops: tuple[str, ...]) -> str:
     return new.capitalize() if part[:1].isupper() else new
 
 
-def examine(lines: list[str], confidence: list, kinds: list[str], before: str | None, after: str | None, answers: Answers | Asked, trust: Perceptron) -> tuple[list[set[str]], list[str], list[bool]]:
+def examine(lines: list[str], confidence: list, kinds: list[str], before: str | None, after: str | None, answers: Answers, trust: Perceptron) -> tuple[list[set[str]], list[str], list[bool]]:
     """For the lines of a page: kinds of each, repaired text of each, and whether each joins the next body line.
 
     before and after: the last body line of the page before and the first of the page after.
@@ -304,7 +330,6 @@ def examine(lines: list[str], confidence: list, kinds: list[str], before: str |
                 if k == len(tokens) - 1 and joins[i]:
                     follow = first
                 continue
-            core = core_of(token)
             if k == len(tokens) - 1 and joins[i]:
                 stem, rest = core_of(token[:-1]), core_of(first)
                 head, tail = ops[: len(stem)], ops[len(stem) :]
@@ -316,8 +341,12 @@ def examine(lines: list[str], confidence: list, kinds: list[str], before: str |
                 made.append(token.replace(stem, part_edited(stem, head), 1) if stem else token)
                 follow = first.replace(rest, part_edited(rest, tail), 1) if rest else first
                 continue
-            new = []
-            for piece in pieces_of(core, answers.known):
+            read, new = answers.reader(token), []
+            if read is None:
+                made.append(token)
+                continue
+            core, pieces = read
+            for piece in pieces:
                 if is_word(piece):
                     text, letters, known = answers.edit(piece)
                     strange |= not known
@@ -360,9 +389,17 @@ def paragraphs(fixed: list[str], kinds: list[str], joins: list[bool], started: s
     return out
 
 
-def inner_words(text: str, known: set[str]) -> list[str]:
-    """The words of a line but its first and last tokens, which may be parts of words."""
-    return [p for t in _TOKEN.findall(text)[1:-1] for p in pieces_of(core_of(t), known) if is_word(p)]
+def inner_words(text: str, known: set[str], memory: dict[str, list[str]]) -> list[str]:
+    """The words of a line but its first and last tokens, which may be parts of words. memory: those of tokens seen before."""
+    out = []
+    for t in _TOKEN.findall(text)[1:-1]:
+        words = memory.get(t)
+        if words is None:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            words = memory[t] = [p for p in pieces_of(core_of(t), known) if is_word(p)]
+        out += words
+    return out
 
 
 def made_breaks(lines: list[str], counts: dict[str, int], r: random.Random) -> list[tuple[str, str, str, tuple[bool, bool], int, bool]]:
@@ -393,10 +430,11 @@ def trust_examples(lines: list[tuple[str, float | None]], editor: E.Editor, coun
     that unlisted words have among all words is taken; against them stand the lines with unlisted words and nothing to repair.
     """
     memory: dict[tuple[str, bool], tuple[bool, bool]] = {}
+    tokens: dict[str, list[str]] = {}
     repaired, strange, total, unlisted = [], [], 0, 0
     for text, confidence in lines:
         found = []
-        for w in inner_words(text, editor.known):
+        for w in inner_words(text, editor.known, tokens):
             key = (w.lower(), w[:1].isupper())
             if key not in memory:
                 new = editor.edit(key[0], counts.get(key[0], 1), key[1])[0]
@@ -429,11 +467,12 @@ def count_words(lines: DataFrame, known: set[str]) -> DataFrame:
     sent = lines.sparkSession.sparkContext.broadcast(known)
 
     def split(batches):
+        memory: dict[str, list[str]] = {}
         for batch in batches:
             words, cased = [], []
             for text in batch.column(0).to_pylist():
                 found: dict[str, bool] = {}
-                for t in inner_words(text, sent.value):
+                for t in inner_words(text, sent.value, memory):
                     found[t.lower()] = found.get(t.lower(), False) or t[:1].isupper()
                 words += found
                 cased += found.values()
@@ -527,9 +566,9 @@ def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
 
     Pages are made of their lines. The title forms and the offsets of page numbers that repeat in a volume are counted over
     all pages and meet the pages that have them; a perceptron tells furniture by place and repetition. The body lines at a
-    page's end and start are looked up from the nearest pages with body lines. Every different word and break of the pages,
-    with its count over all lines, is put to the character editor once, and the answers that change something or concern
-    unknown words go back to the pages. Then every page is worked on by itself. See pages_of() for nulls and repeated rows.
+    page's end and start are looked up from the nearest pages with body lines. The listed words are put to the character
+    editor first; those it leaves alone are settled. Every other different word and every break of the pages, with its count
+    over all lines, is put to it once, and the answers go back to the pages. Then every page is worked on by itself. See pages_of() for nulls and repeated rows.
     """
     pages = cut(pages_of(lines), "pages")
     context = lines.sparkSession.sparkContext
@@ -584,20 +623,6 @@ def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
     editor, trust = train_editor(body, counted, known)
     sent, sent_known, sent_trust = context.broadcast((editor.known, editor.becomes, editor.w)), context.broadcast(known), context.broadcast(trust)
 
-    def ask(batches):
-        for batch in batches:
-            at, questions = [], []
-            for page, ls, kinds, after, before in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                asked = set()
-                for join in (True, False):
-                    note = Asked(sent_known.value, join)
-                    examine([x["text"] for x in ls], [None] * len(ls), kinds, before, after, note, sent_trust.value)
-                    asked |= note.questions
-                at += [page] * len(asked)
-                questions += sorted(asked)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(questions, pa.string())], names=["at", "q"])
-
-    asked = cut(ready.select("at", "lines", "kinds", "next_head", "prev_tail").mapInArrow(ask, "at bigint, q string"), "asked")
     answer_type = pa.struct([("q", pa.string()), ("text", pa.string()), ("ops", pa.list_(pa.string())), ("joined", pa.bool_()), ("there", pa.bool_())])
     answer_schema = "struct<q:string,text:string,ops:array<string>,joined:boolean,there:boolean>"
 
@@ -608,6 +633,22 @@ def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
             out = [x for x in out if x["joined"] is not None or not x["there"] or x["text"] != x["q"][: x["q"].rindex("\t")]]
             yield pa.RecordBatch.from_arrays([pa.array([x["q"] for x in out], pa.string()), pa.array(out, answer_type)], names=["q", "x"])
 
+    listed = lines.sparkSession.createDataFrame([(question(w, c), k) for w, k in sorted(editor.known.items()) for c in (False, True)], "q string, k bigint")
+    listed = listed.withColumn("names", F.lit(None).cast("array<struct<name:string,n:bigint>>")).repartition(context.defaultParallelism)
+    changed = {r.q[: r.q.rindex("\t")] for r in listed.mapInArrow(reply, f"q string, x {answer_schema}").select("q").collect()}  # listed words, of which there are LIST_WORDS at most
+    sent_settled = context.broadcast(known - changed)
+
+    def ask(batches):
+        reader = Reader(sent_settled.value)
+        for batch in batches:
+            at, questions = [], []
+            for page, ls, kinds, after, before in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                found = page_questions([x["text"] for x in ls], kinds, before, after, reader)
+                at += [page] * len(found)
+                questions += sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(questions, pa.string())], names=["at", "q"])
+
+    asked = cut(ready.select("at", "lines", "kinds", "next_head", "prev_tail").mapInArrow(ask, "at bigint, q string"), "asked")
     word = F.regexp_replace(F.regexp_replace("q", "\t.*$", ""), "\n.", "")
     different = cut(asked.select("q").distinct().withColumn("w", word).join(counted.select("w", "k"), "w", "left"), "different")
     names = like_names(different, counted, sent_known)
@@ -619,11 +660,12 @@ def repair(lines: DataFrame, words: DataFrame) -> DataFrame:
     text_type = pa.list_(pa.struct([("line_id", pa.int64()), ("continues", pa.bool_()), ("text", pa.string()), ("joined", pa.bool_())]))
 
     def work(batches):
+        reader = Reader(sent_settled.value)
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(3, 8)]
             found, texts = [], []
             for ls, kinds, after, before, rows in zip(*cols):
-                out, fixed, joins = examine([x["text"] for x in ls], [x["confidence"] for x in ls], kinds, before, after, Answers(sent_known.value, rows or []), sent_trust.value)
+                out, fixed, joins = examine([x["text"] for x in ls], [x["confidence"] for x in ls], kinds, before, after, Answers(reader, rows or []), sent_trust.value)
                 found.append([{"line_id": x["line_id"], "kind": k} for x, ks in zip(ls, out) for k in sorted(ks)])
                 texts.append([{"line_id": ls[i]["line_id"], "continues": c, "text": t, "joined": j} for i, c, t, j in paragraphs(fixed, kinds, joins, before)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, found_type), pa.array(texts, text_type)], names=["ms", "page", "page_key", "found", "paragraphs"])
