@@ -166,6 +166,6 @@ r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC,
 SELECT DISTINCT least(a, b) AS id_1, greatest(a, b) AS id_2 FROM r WHERE n >= 5 AND k <= 5""",
     "p4_neighbours": f"""
 WITH {_VALID},
-r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS k FROM s WHERE c >= 0.85)
+r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS k FROM s)
 SELECT a AS id, k AS neighbor_rank, b AS neighbor_id, round(c, 6) AS similarity FROM r WHERE k <= 5""",
 }
