@@ -112,6 +112,60 @@ def k_cliques(e: DataFrame, size: int) -> DataFrame:
     return found
 
 
+def maximal_cliques(e: DataFrame, size: int = 3) -> DataFrame:
+    """(c): sorted arrays of the nodes of every maximal clique of at least `size` nodes.
+
+    Nodes are ordered by degree. A clique is found at its first node: a search with pivots over that node's later
+    neighbours, where an earlier neighbour linked with all of a clique shows that it is not maximal. So a node's task holds the
+    links among its neighbours of which one end comes later, and by the order few of these come later even at a node of
+    many links (at most the square root of twice the number of edges). Repeated and reversed edges count once.
+    """
+    one = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
+    one = cut(one, "links")
+    degree = cut(ends(one.select(F.col("a").alias("src"), F.col("b").alias("dst"))).groupBy("node").agg(F.count(F.lit(1)).alias("n")), "degrees")
+    at = lambda c: degree.select(F.col("node").alias(c), F.struct(F.col("n"), F.col("node").alias("v")).alias("o" + c))
+    placed = one.join(at("a"), "a").join(at("b"), "b")
+    up = placed.select(F.least("oa", "ob").alias("x"), F.greatest("oa", "ob").alias("y"))  # x comes before y
+    up = cut(up.select(F.col("x.v").alias("lo"), F.col("y.v").alias("hi"), F.col("x").alias("xo"), F.col("y").alias("yo")), "order", drop=one)
+    # triangles lo < mid < hi; at each of the three nodes the link between the other two is needed if one of these comes later
+    first = up.select(F.col("lo").alias("p"), F.col("hi").alias("q"))
+    second = up.select(F.col("lo").alias("q"), F.col("hi").alias("r"))
+    third = up.select(F.col("lo").alias("p"), F.col("hi").alias("r"))
+    tri = first.join(second, "q").join(third, ["p", "r"])
+    local = tri.select(F.inline(F.array(
+        F.struct(F.col("p").alias("v"), F.col("q").alias("s"), F.lit(True).alias("s_later"), F.col("r").alias("d"), F.lit(True).alias("d_later")),
+        F.struct(F.col("q").alias("v"), F.col("p").alias("s"), F.lit(False).alias("s_later"), F.col("r").alias("d"), F.lit(True).alias("d_later")),
+    )))
+    kind = e.schema["src"].dataType.simpleString()
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, near, later = pdf["v"].iloc[0], {}, set()
+        for a, al, b, bl in zip(pdf["s"], pdf["s_later"], pdf["d"], pdf["d_later"]):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+            later |= ({a} if al else set()) | ({b} if bl else set())
+        out, todo = [], [([v], later, set(near) - later)]
+        while todo:
+            r, p, x = todo.pop()
+            if not p:
+                if not x and len(r) >= size:
+                    out.append(sorted(r))
+                continue
+            pivot = max(p | x, key=lambda u: (len(near[u] & p), str(u)))
+            for u in sorted(p - near[pivot], key=str):
+                todo.append((r + [u], p & near[u], x & near[u]))
+                p = p - {u}
+                x = x | {u}
+        return pd.DataFrame({"c": pd.Series(out, dtype=object)})
+
+    found = local.groupBy("v").applyInPandas(search, f"c array<{kind}>")
+    if size > 2:
+        return found
+    # links in no triangle are cliques of two
+    inside = tri.select(F.explode(F.array(F.array_sort(F.array("p", "q")), F.array_sort(F.array("p", "r")), F.array_sort(F.array("q", "r")))).alias("c")).distinct()
+    return found.unionByName(up.select(F.array_sort(F.array("lo", "hi")).alias("c")).join(inside, "c", "left_anti"))
+
+
 def communities(e: DataFrame, weight: str | None = None, rounds: int = 10) -> DataFrame:
     """(node, community) by label propagation: every node takes the label of most weight among its neighbours.
 

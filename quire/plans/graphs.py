@@ -33,7 +33,7 @@ def _edges(spark, d):
 _L = f"""l AS (SELECT id, nullif({TRIM.format('query_manuscript_id')}, '') AS a, nullif({TRIM.format('neighbor_manuscript_id')}, '') AS b, CASE WHEN similarity_score IS NULL OR isnan(similarity_score) THEN 0 ELSE similarity_score END AS s, total_images_in_query_manuscripts AS n FROM geniza_knn_results),
 p AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, s, id FROM l WHERE a <> b),
 e AS (SELECT src, dst, count(*) AS weight, greatest(max(s), 0.0) AS max_similarity FROM p GROUP BY 1, 2),
-te AS (SELECT src, dst, count(*) AS weight, max(s) AS max_similarity FROM p WHERE s >= 0.8 GROUP BY 1, 2)"""
+te AS (SELECT * FROM e)"""
 
 
 @query(f"""
@@ -153,6 +153,22 @@ def g6_four_cliques(spark, d):
     return G.k_cliques(_edges(spark, d), 4).select(F.array_join("c", ",").alias("members"))
 
 
+@query()
+def g6_maximal_cliques(spark, d):
+    """All maximal cliques of three manuscripts and more."""
+    return G.maximal_cliques(_edges(spark, d), 3).select(F.array_join("c", ",").alias("members"), F.size("c").cast("bigint").alias("size"))
+
+
+@query(f"""
+WITH r AS (SELECT id, least(query_image_path, neighbor_image_path) AS src, greatest(query_image_path, neighbor_image_path) AS dst, CASE WHEN similarity_score IS NULL OR isnan(similarity_score) THEN 0 ELSE similarity_score END AS s FROM geniza_knn_results
+WHERE query_image_path <> neighbor_image_path)
+SELECT src, dst, count(*) AS weight, round(greatest(max(s), 0.0), 6) AS max_similarity FROM r GROUP BY src, dst""")
+def g3_image_graph(spark, d):
+    """The graph of images: one edge for two images, with the rows that link them and the best score."""
+    rows = t(spark, d, "geniza_knn_results").select("id", F.col("query_image_path").alias("a"), F.col("neighbor_image_path").alias("b"), "similarity_score")
+    return G.edges(rows, "a", "b", "similarity_score", "id").select("src", "dst", "weight", F.round("max_similarity", 6).alias("max_similarity"))
+
+
 @query()
 def g8_communities(spark, d):
     return G.communities(_edges(spark, d), "weight")

@@ -148,7 +148,7 @@ def j2_join_thresholds(spark, d):
     return a.join(b, "image_path").select("id", "meta_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, o_orderdate, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_custkey <= 20")
+@query("SELECT l_orderkey, l_linenumber, o_orderdate, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
 def j3_multi_key_join(spark, d):
     """Every order line with its order's date and customer, met on two keys."""
     lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -242,3 +243,14 @@ def test_stream(spark, tmp_path):
     s = I.windowed_counts(I.read_new_files(spark, str(tmp_path / "e"), ev.schema), "ts", "kind", late="10 hours")
     assert s.isStreaming and I.drain(s, "windows").columns == ["window_start", "kind", "n"]
     assert I.current(spark, str(tmp_path / "nothing")) is None
+
+
+def test_maximal_cliques(spark):
+    r = random.Random(7)
+    for n, m in ((14, 50), (30, 70), (6, 15)):
+        e = sorted({tuple(sorted(r.sample([f"n{i:02d}" for i in range(n)], 2))) for _ in range(m)})
+        df = spark.createDataFrame([*e, *[(b, a) for a, b in e[:5]], e[0]], "src string, dst string").withColumn("v", F.lit(1))
+        want = G.maximal_cliques_local(pd.DataFrame(e, columns=["src", "dst"]))
+        assert sorted(x.c for x in G.maximal_cliques(df, 2).collect()) == want
+        assert sorted(x.c for x in G.maximal_cliques(df, 3).collect()) == [c for c in want if len(c) > 2]
+    assert G.maximal_cliques(df.limit(0)).count() == 0
