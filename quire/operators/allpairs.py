@@ -112,18 +112,19 @@ def ranks_of_relevant(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         return pd.DataFrame({"item": a[i], "r_item": b[j], "score": np.einsum("ij,ij->i", _matrix(q["vec"])[i], _matrix(t["vec"])[j])})
 
     pairs = _grid(rows.select("item", "vec", "label"), block, False).groupBy("_q", "_t").applyInPandas(same_label, "item bigint, r_item bigint, score double")
-    wanted = pairs.groupBy("item").agg(F.collect_list(F.struct("score", "r_item")).alias("w"))
-    wanted = wanted.select("item", F.col("w.score").alias("scores"), F.col("w.r_item").alias("others"))
-    grid = _grid(cut(rows.join(wanted, "item").select("item", "vec", "scores", "others"), "wanted"), block, False)
+    n = max(1, -(-rows.count() // block))
+    cells = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_t")
+    wanted = cut(pairs, "wanted").select("*", F.pmod(F.xxhash64("item"), F.lit(n)).cast("int").alias("_q"), cells)  # rows of ids and scores meet the blocks, no lists
+    grid = _grid(rows.select("item", "vec"), block, False)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         q, t = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1].sort_values("item")
         out = [pd.DataFrame({"query": [], "relevant": [], "score": [], "ahead": []})]
-        if len(q) and len(t):
-            ids = t["item"].to_numpy()
-            s = np.round(_matrix(q["vec"]) @ _matrix(t["vec"]).T, 12)
-            for row, item, score, rel in zip(s, q["item"].to_numpy(), q["scores"], q["others"]):
-                score = np.round(score, 12)
+        if len(q) and len(t) and len(asked):
+            ids, places = t["item"].to_numpy(), {x: i for i, x in enumerate(q["item"].to_numpy())}
+            tv, qv = _matrix(t["vec"]), _matrix(q["vec"])
+            for item, part in asked.groupby("item", sort=False):
+                row, score, rel = np.round(qv[places[item]] @ tv.T, 12), np.round(part["score"].to_numpy(), 12), part["r_item"].to_numpy()
                 order = np.argsort(-row, kind="stable")
                 low, by_id = -row[order], ids[order]
                 first, last = np.searchsorted(low, -score, "left"), np.searchsorted(low, -score, "right")
@@ -136,5 +137,5 @@ def ranks_of_relevant(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                 out.append(pd.DataFrame({"query": item, "relevant": rel, "score": score, "ahead": ahead}))
         return pd.concat(out)
 
-    counted = grid.groupBy("_q", "_t").applyInPandas(work, "query bigint, relevant bigint, score double, ahead bigint")
+    counted = grid.groupBy("_q", "_t").cogroup(wanted.groupBy("_q", "_t")).applyInPandas(work, "query bigint, relevant bigint, score double, ahead bigint")
     return counted.groupBy("query", "relevant").agg(F.first("score").alias("score"), (F.sum("ahead") + 1).alias("rank"))

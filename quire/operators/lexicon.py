@@ -13,14 +13,24 @@ def words(rows: DataFrame, doc: str, text: str) -> DataFrame:
     return rows.select(F.col(doc).alias("doc"), F.posexplode(found).alias("place", "word")).filter(F.length("word") > 1)
 
 
+def counts(w: DataFrame) -> DataFrame:
+    """(doc, word, n): how often a word stands in a document; the one shuffle of words that all the other figures start from."""
+    return w.groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequencies_of(c: DataFrame) -> DataFrame:
+    """(word, tf, docs) from counts()."""
+    return c.groupBy("word").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("docs"))
+
+
 def frequencies(w: DataFrame) -> DataFrame:
     """(word, tf, docs): occurrences and documents of each word."""
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("tf"), F.countDistinct("doc").alias("docs"))
+    return frequencies_of(counts(w))
 
 
 def inverted_index(w: DataFrame) -> DataFrame:
-    """(word, docs): the sorted different documents of each word."""
-    return w.select("word", "doc").distinct().groupBy("word").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+    """(word, doc): the postings as rows, so that a frequent word is no single value."""
+    return w.select("word", "doc").distinct()
 
 
 def inverse_document_frequency(f: DataFrame, documents: int) -> DataFrame:
@@ -57,7 +67,11 @@ def base_forms(f: DataFrame, ratio: float = 1.2) -> DataFrame:
 
 def line_weights(w: DataFrame, line: list[str], idf: DataFrame) -> DataFrame:
     """Words with weight: count / highest count of the line, times idf (1 if missing), over the line's highest."""
-    per = w.groupBy(*line, "word").agg(F.count(F.lit(1)).alias("n"))
+    return weights_of(w.groupBy(*line, "word").agg(F.count(F.lit(1)).alias("n")), line, idf)
+
+
+def weights_of(per: DataFrame, line: list[str], idf: DataFrame) -> DataFrame:
+    """line_weights() from counted words (line, word, n)."""
     own = Window.partitionBy(*line)
     per = per.join(idf, "word", "left").withColumn("x", F.col("n") / F.max("n").over(own) * F.coalesce("idf", F.lit(1.0)))
     return per.withColumn("weight", F.col("x") / F.max("x").over(own)).select(*line, "word", "n", "weight")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quire.operators.ordering import running_total
+
 
 def success_at(rows: DataFrame, query: str, rank: str, flag: str, cutoffs: list[int]) -> DataFrame:
     """(k, queries, complete, successes, hits, success_rate) for each cutoff, from one scan.
@@ -160,8 +162,8 @@ def regression_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame
 def mid_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     """Rows with the mean rank of equal values, from counts per distinct value."""
     per = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    per = per.withColumn(name, upto - F.col("_n") + (F.col("_n") + 1) / 2).drop("_n")
+    per = running_total(per, [F.col(value)], "_n", "_upto")
+    per = per.withColumn(name, F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).drop("_n", "_upto")
     return rows.join(per, value)
 
 

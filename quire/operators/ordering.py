@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.session import cut
 
@@ -36,3 +36,21 @@ def with_neighbours(rows: DataFrame, key: str, order: list[str], values: list[st
         s = s.withColumn(f"next_{v}", F.when(F.col("_last") & F.col("_after.k").eqNullSafe(F.col(key)), F.col(f"_after.{v}")).otherwise(F.col(f"next_{v}")))
         s = s.withColumn(f"prev_{v}", F.when(F.col("_first") & F.col("_before.k").eqNullSafe(F.col(key)), F.col(f"_before.{v}")).otherwise(F.col(f"prev_{v}")))
     return s.drop("_pid", "_last", "_first", "_after", "_before")
+
+
+def running_total(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """rows with the sum of value over all rows up to each one in a total order, itself included; no task holds all rows.
+
+    Rows are divided by ranges of the order; the sums of the ranges, one row for each partition, are added up on the driver.
+    A null value adds nothing; rows of equal order come in any order among themselves.
+    """
+    s = cut(rows.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "ranges")
+    before, total = [], 0
+    for r in sorted(s.groupBy("_pid").agg(F.sum(value).alias("n")).collect(), key=lambda r: r["_pid"]):
+        before.append((r["_pid"], total))
+        total += r["n"] or 0
+    if not before:
+        return s.drop("_pid").withColumn(name, F.lit(None).cast(rows.select(F.sum(value).alias("n")).schema["n"].dataType))
+    small = rows.sparkSession.createDataFrame(before, f"_pid int, _before {rows.select(F.sum(value).alias('n')).schema['n'].dataType.simpleString()}")
+    inside = F.sum(value).over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return s.join(F.broadcast(small), "_pid").withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_pid", "_before")

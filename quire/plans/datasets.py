@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, Window, functions as F
 
 from quire.functions.text import blank_to_null, trimmed
-from quire.operators import metrics as M, profile as P, relational as R, sampling as S
+from quire.operators import metrics as M, ordering as O, profile as P, relational as R, sampling as S
 from quire.session import table as t
 
 QUERIES, SQL = {}, {}
@@ -37,8 +37,12 @@ def w1_hash_window(spark: SparkSession, d: str):
 
 @query("SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC) AS by_balance, rank() OVER (ORDER BY c_nationkey DESC) AS by_nation FROM customer")
 def w3_ranks(spark, d):
-    w = lambda c: F.rank().over(Window.orderBy(F.desc(c))).cast("bigint")
-    return t(spark, d, "customer").select("c_custkey", w("c_acctbal").alias("by_balance"), w("c_nationkey").alias("by_nation"))
+    """Ranks among all customers, from counts of the different values."""
+    rows = t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    for c, name in (("c_acctbal", "by_balance"), ("c_nationkey", "by_nation")):
+        per = O.running_total(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [F.desc_nulls_last(c)], "n", "upto")
+        rows = rows.join(per.select(F.col(c).alias("_v"), (F.col("upto") - F.col("n") + 1).alias(name)), F.col(c).eqNullSafe(F.col("_v"))).drop("_v")
+    return rows.drop("c_acctbal", "c_nationkey")
 
 
 @query(f"""
@@ -83,7 +87,8 @@ def w13_cumulative_share(spark, d):
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY abs(c_acctbal) DESC, c_custkey) AS place FROM customer")
 def w14_absolute_rank(spark, d):
-    return t(spark, d, "customer").select("c_custkey", F.row_number().over(Window.orderBy(F.desc(F.abs("c_acctbal")), "c_custkey")).cast("bigint").alias("place"))
+    rows = t(spark, d, "customer").select("c_custkey", F.abs("c_acctbal").alias("_s"), F.lit(1).cast("bigint").alias("_one"))
+    return O.running_total(rows, [F.desc_nulls_last("_s"), F.col("c_custkey")], "_one", "place").select("c_custkey", "place")
 
 
 @query("""

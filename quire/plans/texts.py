@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession, Window, functions as F
 from quire.functions import hebrew as H, vectors as V
 from quire.functions.text import normal_path, trimmed
 from quire.operators import lexicon as L
-from quire.session import table as t
+from quire.session import cut, table as t
 
 QUERIES, SQL = {}, {}
 TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -162,9 +162,9 @@ def x1_frequencies(spark, d):
     return L.frequencies(_words(spark, d))
 
 
-@query(f"WITH {_WORDS} SELECT word, array_to_string(list_sort(list_distinct(list(doc))), ',') AS docs FROM w GROUP BY word")
+@query(f"WITH {_WORDS} SELECT DISTINCT word, doc FROM w")
 def x2_inverted_index(spark, d):
-    return L.inverted_index(_words(spark, d)).select("word", F.array_join(F.transform("docs", lambda x: x.cast("string")), ",").alias("docs"))
+    return L.inverted_index(_words(spark, d))
 
 
 @query(f"WITH {_WORDS} SELECT word, round(ln(((SELECT count(*) FROM documents) + 1) / (docs + 1)) + 1, 6) AS idf FROM f")
@@ -188,9 +188,9 @@ def x4_idf_forms(spark, d):
 WITH {_WORDS}, idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (docs + 1)) + 1 AS v FROM f WHERE docs > 1), p AS (SELECT doc, word, count(*) AS n FROM w GROUP BY 1, 2),
 x AS (SELECT doc, word, n, n / max(n) OVER (PARTITION BY doc) * coalesce(v, 1.0) AS x FROM p LEFT JOIN idf USING (word)) SELECT doc, word, n, round(x / max(x) OVER (PARTITION BY doc), 6) AS weight FROM x""")
 def x5_tf_idf(spark, d):
-    w, n = _words(spark, d), t(spark, d, "documents").count()
-    idf = L.inverse_document_frequency(L.frequencies(w).filter("docs > 1"), n)
-    return L.line_weights(w, ["doc"], idf).select("doc", "word", "n", F.round("weight", 6).alias("weight"))
+    c, n = cut(L.counts(_words(spark, d)), "counts"), t(spark, d, "documents").count()
+    idf = L.inverse_document_frequency(L.frequencies_of(c).filter("docs > 1"), n)
+    return L.weights_of(c, ["doc"], idf).select("doc", "word", "n", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""
