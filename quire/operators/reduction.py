@@ -77,14 +77,64 @@ def ridge(rows: DataFrame, vector: str, target: str, dim: int, alpha: float, wei
     """Coefficients on standardised features and the intercept, from moments of (features, target) alone."""
     w = F.lit(1.0) if weight is None else F.col(weight)
     z = rows.filter(F.col(target).isNotNull()).select(F.transform(F.concat(F.col(vector).cast("array<double>"), F.array(F.col(target).cast("double"), F.lit(1.0))), lambda x: x * F.sqrt(w)).alias("_z"))
-    _, _, o = moments(z, "_z", dim + 2)
+    coef, scale, intercept = _ridge_from(moments(z, "_z", dim + 2)[2], dim, alpha)
+    return coef, intercept
+
+
+def _ridge_from(o: np.ndarray, dim: int, alpha: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients on standardised features, the features' scales and the intercept from second moments of (features, target, 1)."""
     total = o[-1, -1]
     mean = o[:-1, -1] / total
     cov = o[:-1, :-1] - total * np.outer(mean, mean)
     scale = np.sqrt(np.maximum(np.diag(cov)[:dim] / total, 1e-24))
     a = cov[:dim, :dim] / np.outer(scale, scale) + alpha * np.eye(dim)
     coef = np.linalg.solve(a, cov[:dim, dim] / scale)
-    return coef, float(mean[dim] - (coef / scale * mean[:dim]).sum())
+    return coef, scale, float(mean[dim] - (coef / scale * mean[:dim]).sum())
+
+
+def ridge_by_folds(rows: DataFrame, vector: str, target: str, fold: str, dim: int, alphas: list[float]) -> tuple[float, DataFrame]:
+    """The alpha of the least mean absolute error out of fold (the smaller on a tie), and rows with its predictions out of fold (_p).
+
+    One set of moments per fold; what a fold is predicted with comes from the moments of the others. fold: 0, 1, ...; rows
+    without a fold or a target are left out.
+    """
+    rows = rows.filter(F.col(fold).isNotNull() & F.col(target).isNotNull() & valid(vector))
+    z = rows.withColumn("_z", F.concat(F.col(vector).cast("array<double>"), F.array(F.col(target).cast("double"), F.lit(1.0))))
+    names = sorted(r[0] for r in rows.select(fold).distinct().collect())
+    parts = {f: moments(z.filter(F.col(fold) == f), "_z", dim + 2)[2] for f in names}
+    x = F.col(vector).cast("array<double>")
+
+    def predicted(alpha: float):
+        out = None
+        for f in names:
+            coef, scale, intercept = _ridge_from(sum(parts[g] for g in names if g != f), dim, alpha)
+            w = F.array(*[F.lit(float(c)) for c in coef / scale])
+            p = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(intercept), lambda a, b: a + b)
+            out = F.when(F.col(fold) == f, p) if out is None else out.when(F.col(fold) == f, p)
+        return out
+
+    errors = rows.agg(*[F.avg(F.abs(predicted(a) - F.col(target))).alias(f"e{i}") for i, a in enumerate(alphas)]).first()
+    best = min(sorted(range(len(alphas)), key=lambda i: alphas[i]), key=lambda i: errors[i])
+    return alphas[best], rows.withColumn("_p", predicted(alphas[best]))
+
+
+def logistic_by_folds(rows: DataFrame, vector: str, label: str, fold: str, choices: list[float]) -> tuple[float, float]:
+    """The C of the highest ROC-AUC out of fold (the smaller on a tie) and that AUC."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from quire.operators.metrics import roc_auc
+
+    names = sorted(r[0] for r in rows.filter(F.col(fold).isNotNull()).select(fold).distinct().collect())
+    found = []
+    for c in sorted(choices):
+        out = None
+        for f in names:
+            model = logistic(rows.filter(F.col(fold) != f), vector, label, c=c)
+            held = rows.filter(F.col(fold) == f).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).alias("y"))
+            one = model.transform(held).select("y", vector_to_array("probability")[1].alias("s"))
+            out = one if out is None else out.unionByName(one)
+        found.append((c, roc_auc(out, "s", F.col("y") == 1).first()[0]))
+    return max(found, key=lambda x: (round(x[1], 12), -x[0]))
 
 
 def logistic(rows: DataFrame, vector: str, label: str, weight: str | None = None, c: float = 1.0):

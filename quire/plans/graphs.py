@@ -126,7 +126,12 @@ def g4_ego_nodes(spark, d):
     return G.ego(e, [r.node for r in top], 2)[0]
 
 
-@query()
+@query(f"""
+WITH {_L}, b AS (SELECT src AS v, dst AS u FROM te UNION SELECT dst, src FROM te), start AS (SELECT v AS m FROM (SELECT v, count(*) AS c FROM b GROUP BY v ORDER BY c DESC, v DESC LIMIT 1)),
+h0 AS (SELECT m AS node FROM start), h1 AS (SELECT DISTINCT u AS node FROM b JOIN h0 ON b.v = h0.node WHERE u NOT IN (SELECT node FROM h0)),
+h2 AS (SELECT DISTINCT u AS node FROM b JOIN h1 ON b.v = h1.node WHERE u NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1)),
+n AS (SELECT node FROM (SELECT node, hop, (SELECT count(*) FROM b WHERE b.v = node) AS degree FROM (SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2)) ORDER BY hop, degree DESC, node LIMIT 20)
+SELECT src, dst, weight FROM te WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)""")
 def g5_ego_edges(spark, d):
     """The edges among the first 20 nodes around the manuscript of most links."""
     e = _edges(spark, d)

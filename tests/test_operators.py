@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import hebrew as H, vectors as V
 from quire.functions.text import blank_to_null, normal_path, trimmed
 from quire.operators import allpairs, graph as G, layout as Y, lexicon as L, metrics as M, profile as P, reduction as N, relational as R, sampling as S
+from quire.operators.ordering import running_total
 from quire.plans import graphs, relational
 from quire.sources import alto, files
 
@@ -254,3 +255,37 @@ def test_maximal_cliques(spark):
         assert sorted(x.c for x in G.maximal_cliques(df, 2).collect()) == want
         assert sorted(x.c for x in G.maximal_cliques(df, 3).collect()) == [c for c in want if len(c) > 2]
     assert G.maximal_cliques(df.limit(0)).count() == 0
+
+
+def test_ridge_by_folds(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 4)) * [1, 3, 0.5, 2] + 1
+    y = x @ [1.0, -0.5, 2.0, 0.0] + rng.normal(size=120)
+    rows = [(i, v.tolist(), float(t), i % 5) for i, (v, t) in enumerate(zip(x, y))] + [(900, None, 1.0, 0), (901, x[0].tolist(), None, 1), (902, x[0].tolist(), 1.0, None)]
+    df = spark.createDataFrame(rows, "i int, v array<double>, y double, fold int")
+    alpha, out = N.ridge_by_folds(df, "v", "y", "fold", 4, [100.0, 0.1, 1000.0])
+    f, errors = np.arange(120) % 5, {}
+    for a in (0.1, 100.0, 1000.0):
+        p = np.empty(120)
+        for k in range(5):
+            tx, ty = x[f != k], y[f != k]
+            m, s = tx.mean(axis=0), tx.std(axis=0)
+            z = (tx - m) / s
+            w = np.linalg.solve(z.T @ z + a * np.eye(4), z.T @ (ty - ty.mean()))
+            p[f == k] = ((x[f == k] - m) / s) @ w + ty.mean()
+        errors[a] = (np.abs(p - y).mean(), p)
+    assert alpha == min(errors, key=lambda a: errors[a][0])
+    got = {r.i: r._p for r in out.collect()}
+    assert len(got) == 120 and np.allclose([got[i] for i in range(120)], errors[alpha][1])
+
+
+def test_running_total(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice([None, 1, 2, 5]), r.randrange(50)) for i in range(500)]
+    got = {x.i: x.total for x in running_total(spark.createDataFrame(rows, "i int, n int, o int"), [F.col("o"), F.col("i")], "n", "total").collect()}
+    want, total = {}, 0
+    for i, n, o in sorted(rows, key=lambda x: (x[2], x[0])):
+        total += n or 0
+        want[i] = total
+    assert got == want
+    assert running_total(spark.createDataFrame([], "i int, n int"), [F.col("i")], "n", "total").count() == 0
