@@ -98,32 +98,39 @@ def two_page_split(lines: pd.DataFrame, width: float, height: float) -> float |
     return float(split) if spread and width * 0.1 < split < width * 0.9 else None
 
 
-def rotation_vote(lines: pd.DataFrame, width: float, height: float) -> int:
-    """Degrees by which a page must be turned. lines: width, height, center_x, center_y, x1, y1, x2, y2 (baseline or NaN)."""
-    if len(lines) < 3 or width <= 0 or height <= 0:
-        return 0
-    base = lines.dropna(subset=["x1", "y1", "x2", "y2"])
-    if len(base) >= 3:
-        dx, dy = base["x2"] - base["x1"], base["y2"] - base["y1"]
-        angle = np.degrees(np.arctan2(dy, dx)) % 360
-        off = lambda a: (np.minimum((angle - a) % 360, (a - angle) % 360) < 30).mean()
-        if off(0) + off(180) > 0.6:
-            wide = base["width"] >= width * 0.3
-            left, right = int((dx[wide] < 0).sum()), int((dx[wide] > 0).sum())
-            return 180 if left + right >= 3 and left / (left + right) > 0.7 else 0
-        if off(90) + off(270) > 0.6:
-            return 270 if off(90) > off(270) else 90
-    shape = lines[(lines["width"] > 0) & (lines["height"] > 0)]
-    if len(shape) < 3:
-        return 0
-    ratio, page = shape["width"] / shape["height"], width / height
-    if (ratio < 0.8).mean() > 0.6:
-        if page > 1.2:
-            return 90
-        return 270 if page < 0.8 or lines["center_x"].mean() > width * 0.6 else 90
-    if (ratio > 1.2).mean() > 0.6 and lines["center_y"].mean() > height * 0.6 and page < 0.7:
-        return 180
-    return 0
+def rotation_votes(lines: DataFrame, page: str, width: float, height: float) -> DataFrame:
+    """(page, angle): degrees by which each page must be turned, from counts over its lines.
+
+    lines: page, width, height, center_x, center_y and a baseline x1, y1, x2, y2 (null or NaN where unknown). With three
+    baselines and more their direction decides if over 60 % lie within 30 degrees of one axis: across it, a page is upside down if
+    over 70 % of the wide ones (30 % of the page) run backwards; along it, the commoner sense tells. Else the boxes decide in the
+    same way, tall ones and flat ones by the side of the page they lie on. Fewer than three lines, or a page without extent: 0.
+    """
+    col, share = F.col, lambda a, n: a / F.greatest(n, F.lit(1))
+    dx, dy = col("x2") - col("x1"), col("y2") - col("y1")
+    turn = F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(360.0))
+    known = F.coalesce(~F.isnan(turn), F.lit(False))
+    toward = lambda a: F.count_if(known & (F.least(F.pmod(turn - a, F.lit(360.0)), F.pmod(a - turn, F.lit(360.0))) < 30))
+    box, ratio = (col("width") > 0) & (col("height") > 0), col("width") / col("height")
+    wide = known & (col("width") >= width * 0.3)
+    c = lines.groupBy(page).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("bases"), *[toward(a).alias(f"to{a}") for a in (0, 90, 180, 270)],
+        F.count_if(wide & (dx < 0)).alias("back"), F.count_if(wide & (dx > 0)).alias("ahead"), F.count_if(box).alias("boxes"),
+        F.count_if(box & (ratio < 0.8)).alias("tall"), F.count_if(box & (ratio > 1.2)).alias("flat"), F.avg("center_x").alias("cx"), F.avg("center_y").alias("cy"),
+    )
+    shape = width / height if height > 0 else 0.0
+    by_base = col("bases") >= 3
+    level, upright = by_base & (share(col("to0") + col("to180"), col("bases")) > 0.6), by_base & (share(col("to90") + col("to270"), col("bases")) > 0.6)
+    reversed_ = (col("back") + col("ahead") >= 3) & (share(col("back"), col("back") + col("ahead")) > 0.7)
+    tall, flat = share(col("tall"), col("boxes")) > 0.6, share(col("flat"), col("boxes")) > 0.6
+    left = F.lit(shape <= 1.2) & (F.lit(shape < 0.8) | (col("cx") > width * 0.6))
+    angle = (
+        F.when((col("n") < 3) | F.lit(width <= 0 or height <= 0), 0)
+        .when(level, F.when(reversed_, 180).otherwise(0)).when(upright, F.when(col("to90") > col("to270"), 270).otherwise(90))
+        .when(col("boxes") < 3, 0).when(tall, F.when(left, 270).otherwise(90))
+        .when(flat & (col("cy") > height * 0.6) & F.lit(shape < 0.7), 180).otherwise(0)
+    )
+    return c.select(page, angle.cast("int").alias("angle"))
 
 
 def overlap_share(tiles: DataFrame, regions: DataFrame, page: str, size: int) -> DataFrame:

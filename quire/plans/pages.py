@@ -186,7 +186,10 @@ def v19_rotate_point(spark, d):
     return t(spark, d, "image_metadata").select("id", x.alias("x"), y.alias("y"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT any_value(image_path) AS image_path, list_max(list_transform(any_value(polygon), lambda p: p.x)) - list_min(list_transform(any_value(polygon), lambda p: p.x)) AS w,
+list_max(list_transform(any_value(polygon), lambda p: p.y)) - list_min(list_transform(any_value(polygon), lambda p: p.y)) AS h FROM alto_text_lines WHERE polygon IS NOT NULL GROUP BY line_id)
+SELECT image_path, CASE WHEN count(*) FILTER (w > 0 AND h > 0) >= 3 AND count(*) FILTER (w > 0 AND h > 0 AND w / h < 0.8) > 0.6 * count(*) FILTER (w > 0 AND h > 0) THEN 270 ELSE 0 END::INT AS angle FROM l GROUP BY image_path""")
 def v20_rotation_vote(spark, d):
     """Rotation of each page by the boxes of its lines."""
     l = t(spark, d, "alto_text_lines").filter("polygon IS NOT NULL").dropDuplicates(["line_id"])
@@ -194,10 +197,7 @@ def v20_rotation_vote(spark, d):
     none = F.lit(None).cast("double")
     l = l.select("image_path", (x1 - x0).cast("double").alias("width"), (y1 - y0).cast("double").alias("height"), ((x0 + x1) / 2).cast("double").alias("center_x"), ((y0 + y1) / 2).cast("double").alias("center_y"), *[none.alias(c) for c in ("x1", "y1", "x2", "y2")])
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"image_path": [pdf["image_path"].iloc[0]], "angle": [Y.rotation_vote(pdf, 900.0, 1200.0)]})
-
-    return l.groupBy("image_path").applyInPandas(work, "image_path string, angle int")
+    return Y.rotation_votes(l, "image_path", 900.0, 1200.0)
 
 
 def _xml(spark, d):

@@ -187,8 +187,14 @@ def test_layout(spark):
     two = pd.DataFrame([(x, y) for y in range(100, 900, 50) for x in (200, 800)], columns=["center_x", "center_y"]).astype(float)
     assert Y.two_page_split(two, 1000, 1000) == 500.0
     assert Y.two_page_split(two.assign(center_x=300.0), 1000, 1000) is None
-    tall = pd.DataFrame({"width": [10.0] * 4, "height": [100.0] * 4, "center_x": [1.0] * 4, "center_y": [1.0] * 4, **{c: [None] * 4 for c in ("x1", "y1", "x2", "y2")}})
-    assert Y.rotation_vote(tall, 2000, 1000) == 90 and Y.rotation_vote(tall.head(2), 2000, 1000) == 0
+    box = "page int, width double, height double, center_x double, center_y double, x1 double, y1 double, x2 double, y2 double"
+    none = (None,) * 4
+    line = lambda p, x0, y0, x1, y1, w=700.0: (p, w, 20.0, 1.0, 1.0, x0, y0, x1, y1)
+    rows = [(1, 10.0, 100.0, 1.0, 1.0, *none)] * 4 + [(2, 10.0, 100.0, 1.0, 1.0, *none)] * 2 + [line(3, 900.0, 5.0, 100.0, 9.0)] * 4 + [line(4, 100.0, 5.0, 900.0, 9.0)] * 4
+    rows += [line(5, 5.0, 10.0, 9.0, 800.0)] * 3 + [line(5, 5.0, 800.0, 9.0, 10.0)] * 2 + [line(6, 5.0, 800.0, 9.0, 10.0)] * 3 + [(7, 0.0, 0.0, None, None, float("nan"), 1.0, 2.0, 3.0)] * 5
+    assert {tuple(x) for x in Y.rotation_votes(spark.createDataFrame(rows, box), "page", 2000.0, 1000.0).collect()} == {(1, 90), (2, 0), (3, 180), (4, 0), (5, 270), (6, 90), (7, 0)}
+    assert Y.rotation_votes(spark.createDataFrame(rows[:4], box), "page", 700.0, 1000.0).first().angle == 270
+    assert Y.rotation_votes(spark.createDataFrame([], box), "page", 1.0, 1.0).count() == 0
     tiles = pd.DataFrame({"top": [0, 0, 10, 300], "left": [0, 10, 0, 0], "distance": [0.0, 0.1, 0.2, 0.3]})
     assert Y.choose_tiles(tiles, 100, 100, 2)["top"].tolist() == [0, 300]
 
