@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quire.operators.ordering import running_total
+
 
 def hash_key(c: str | Column, seed: int | str = 42) -> Column:
     c = F.col(c) if isinstance(c, str) else c
@@ -101,22 +103,24 @@ def pk_batches(rows: DataFrame, label: str, item: str, batch: int, k: int, batch
     items = rows.join(labels, label).withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(*hash_order(item, seed))) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(label)))
     plan = rows.sparkSession.range(batches * p).select((F.col("id") / p).cast("bigint").alias("batch"), (F.col("id") % count).alias("_l"), F.floor(F.col("id") / count).cast("bigint").alias("_turn"))
     plan = plan.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    plan = plan.join(F.broadcast(items.groupBy("_l").agg(F.first("_n").alias("_n"))), "_l").withColumn("_i", (F.col("_turn") * k + F.col("slot")) % F.col("_n"))
+    plan = plan.join(items.groupBy("_l").agg(F.first("_n").alias("_n")), "_l").withColumn("_i", (F.col("_turn") * k + F.col("slot")) % F.col("_n"))
     return plan.join(items.select("_l", "_i", label, item), ["_l", "_i"]).select("batch", label, "slot", item)
 
 
 def pair_sample(rows: DataFrame, item: str, label: str, n: int, seed: int = 42) -> DataFrame:
     """(item_1, item_2, kind): per kind up to n pairs without reuse: same label, and different labels.
 
-    Rows in hash order are paired two by two: inside a label for 'same', over all rows for 'cross'.
+    Rows in hash order are paired two by two inside a label for 'same'. For 'cross' they are dealt in rounds, of every label the
+    first row, then of every label the second, so that rows beside one another differ in label while there are others.
     """
     w = Window.partitionBy(label).orderBy(*hash_order(item, seed))
     same = rows.withColumn("_i", F.row_number().over(w) - 1).withColumns({"_p": F.floor(F.col("_i") / 2), "_s": F.col("_i") % 2})
     same = same.groupBy(F.col(label), "_p").agg(F.max(F.when(F.col("_s") == 0, F.col(item))).alias("item_1"), F.max(F.when(F.col("_s") == 1, F.col(item))).alias("item_2")).filter("item_2 IS NOT NULL").select("item_1", "item_2", F.lit("same").alias("kind"))
-    b = F.pmod(F.xxhash64(item), F.lit(64))
-    cross = rows.withColumn("_b", b).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*hash_order(item, seed))) - 1).withColumns({"_p": F.floor(F.col("_i") / 2), "_s": F.col("_i") % 2})
+    dealt = rows.filter(F.col(label).isNotNull()).select(F.col(item).alias("_item"), F.col(label).alias("_label"), F.row_number().over(w).alias("_round"), F.lit(1).cast("bigint").alias("_one"))
+    order = [F.col("_round"), F.md5(F.concat_ws("|", F.col("_label").cast("string"), F.lit(str(seed)))), F.col("_label"), F.col("_item")]
+    dealt = running_total(dealt, order, "_one", "_i").withColumns({"_p": F.floor((F.col("_i") - 1) / 2), "_s": (F.col("_i") - 1) % 2})
     one = lambda s, c: F.max(F.when(F.col("_s") == s, F.col(c)))
-    cross = cross.groupBy("_b", "_p").agg(one(0, item).alias("item_1"), one(1, item).alias("item_2"), one(0, label).alias("l1"), one(1, label).alias("l2")).filter("l1 <> l2").select("item_1", "item_2", F.lit("cross").alias("kind"))
+    cross = dealt.groupBy("_p").agg(one(0, "_item").alias("item_1"), one(1, "_item").alias("item_2"), one(0, "_label").alias("l1"), one(1, "_label").alias("l2")).filter("l1 <> l2").select("item_1", "item_2", F.lit("cross").alias("kind"))
     pick = lambda x: x.orderBy(F.md5(F.concat_ws("|", F.col("item_1").cast("string"), F.col("item_2").cast("string"), F.lit(str(seed)))), "item_1").limit(n)
     return pick(same).unionByName(pick(cross))
 
@@ -130,26 +134,21 @@ def cyclic_pick(rows: DataFrame, group: str, order: list[Column], n: int) -> Dat
 def evenly_spaced(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     """n rows at positions floor(i * (N - 1) / (n - 1)) of the whole order; all rows if there are no more than n.
 
-    The global position comes from one sorted pass with a count per partition, not from one task that holds all rows.
+    The position in the whole order comes from sums over its ranges, not from one task that holds all rows.
     """
     total = rows.count()
     if total <= n:
         return rows
     wanted = sorted({int(i * (total - 1) / max(1, n - 1)) for i in range(n)})
-    s = rows.orderBy(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts, before, upto = {r["_pid"]: r["count"] for r in s.groupBy("_pid").count().collect()}, {}, 0
-    for p in sorted(counts):
-        before[p], upto = upto, upto + counts[p]
-    start = F.create_map(*[F.lit(x) for q in before.items() for x in q])
-    at = start[F.col("_pid")] + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-    return s.withColumn("_at", at).filter(F.col("_at").isin(wanted)).drop("_pid", "_mid", "_at")
+    s = running_total(rows.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", "_at")
+    return s.filter((F.col("_at") - 1).isin(wanted)).drop("_one", "_at")
 
 
 def contiguous_shards(ids: DataFrame, item: str, shards: int) -> DataFrame:
     """(item, shard): the ids in order, in `shards` ranges of nearly equal size; more shards than ids leave some empty."""
     n = ids.count()
-    at = F.row_number().over(Window.orderBy(item)) - 1
-    return ids.select(item).withColumn("shard", F.floor(at * shards / max(n, 1)).cast("int"))
+    s = running_total(ids.select(item, F.lit(1).cast("bigint").alias("_one")), [F.asc_nulls_first(item)], "_one", "_at")
+    return s.select(item, F.floor((F.col("_at") - 1) * shards / max(n, 1)).cast("int").alias("shard"))
 
 
 def page_weights(rows: DataFrame, group: str) -> DataFrame:

@@ -295,3 +295,20 @@ def test_running_total(spark):
         want[i] = total
     assert got == want
     assert running_total(spark.createDataFrame([], "i int, n int"), [F.col("i")], "n", "total").count() == 0
+
+
+def test_cross_pairs_differ_in_label(spark):
+    rows = [(i, "abc"[i % 3] if i < 60 else "d") for i in range(120)] + [(500, None)]
+    got = S.pair_sample(spark.createDataFrame(rows, "i int, l string"), "i", "l", 1000).collect()
+    label = dict(rows)
+    for kind in ("same", "cross"):
+        pairs = [(x.item_1, x.item_2) for x in got if x.kind == kind]
+        used = [i for p in pairs for i in p]
+        assert len(used) == len(set(used)) and all((label[a] == label[b]) == (kind == "same") for a, b in pairs)
+        assert len(pairs) >= (55 if kind == "same" else 38)  # 20 rounds of four labels give 40 pairs across, the rest is of one label
+    assert S.pair_sample(spark.createDataFrame([], "i int, l string"), "i", "l", 5).count() == 0
+
+
+def test_contiguous_shards(spark):
+    got = {r.id: r.shard for r in S.contiguous_shards(spark.range(10), "id", 4).collect()}
+    assert got == {i: i * 4 // 10 for i in range(10)}
