@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.session import hashed_share
 
-#: Rows per list on average, and the most centroids (64 floats each: at most 16 MB are sent to the tasks). Where more
-#: lists are wanted, a second level divides every list by the nearest of up to MOST_PARTS residuals, the same for all lists.
+#: Rows per list on average, and the most centroids (64 floats each: at most 16 MB are sent to the tasks). Where so
+#: many lists would be longer than a block, a second level divides every list by the nearest of up to MOST_PARTS residuals, the same for all lists.
 LIST_ROWS, MOST_LISTS, MOST_PARTS = 128, 65_536, 4096
 #: Rows the index is fitted on: at least so many, four for each list, and never more than MOST_SAMPLE. All rows are indexed.
 SAMPLE, MOST_SAMPLE = 65_536, 262_144
@@ -146,8 +146,8 @@ def fit(sample: np.ndarray, rows: int, near: float, balance: bool, list_rows: in
     Leaders are taken in falling density (sample rows at least `near` similar), each at most SPREAD similar to those
     before it, so that a set of look-alikes gets one list; each moves to the mean of its look-alikes. With balance, a
     list that would hold more than block_rows gets further centroids from among its own sample rows. Without, and
-    for what is still longer, the list is divided into shards. Where `rows` ask for more lists than most_lists,
-    residuals of the sample (row minus its centroid) become a second level, so lists do not grow with the data.
+    for what is still longer, the list is divided into shards. Where most_lists lists of a full block do not hold the
+    rows, residuals of the sample (row minus its centroid) become a second level, so lists do not grow further.
     """
     x = unit(sample).astype(np.float32) if len(sample) else np.eye(1, 64, dtype=np.float32)
     lists = int(min(most_lists, max(8, -(-rows // list_rows)), len(x)))
@@ -171,7 +171,7 @@ def fit(sample: np.ndarray, rows: int, near: float, balance: bool, list_rows: in
         points = np.concatenate([points, *more])[:most_lists]
         home = _homes(x, points)
         expected = np.bincount(home, minlength=len(points)) * scale
-    wanted = min(MOST_PARTS, -(-rows // (list_rows * most_lists))) if len(points) >= most_lists else 1
+    wanted = min(MOST_PARTS, -(-rows // (block_rows * most_lists))) if len(points) >= most_lists else 1
     parts = np.zeros((1, x.shape[1]), dtype=np.float32)
     if wanted > 1:
         rest = x - points[home]

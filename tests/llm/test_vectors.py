@@ -91,7 +91,7 @@ def test_second_level_of_lists():
     centre = u(rng.normal(size=(30, 64)))
     mean = u(centre[rng.integers(0, 30, 1500)] + 0.06 * rng.normal(size=(1500, 64)))
     x = u(np.concatenate([mean + 0.02 * rng.normal(size=mean.shape) for _ in range(4)])).astype("f4")
-    index = vectors.fit(x, len(x), 0.85, False, list_rows=20, most_lists=24)
+    index = vectors.fit(x, len(x), 0.85, False, list_rows=20, block_rows=20, most_lists=24)
     assert len(index.points) == 24 and len(index.parts) >= 10
     near, sims = index.lists(vectors.unit(x), 4)
     assert near.max() < 24 * len(index.parts) and (np.diff(sims, axis=1) <= 1e-6).all()
