@@ -101,6 +101,23 @@ def test_second_level_of_lists():
     assert np.bincount(near[:, 0]).max() < 600
 
 
+@pytest.mark.parametrize("block", [2, 4096])
+def test_clusters_across_lists(spark, monkeypatch, block):
+    """Two lists; the outer members of a cluster stand in one of them each, so their pair is met in none."""
+    way = lambda degrees: np.cos(np.radians(degrees)) * np.eye(64)[0] + np.sin(np.radians(degrees)) * np.eye(64)[1]
+    fitted = vectors.fit(np.stack([way(0), way(60)]), 2, 0.85, False)
+    monkeypatch.setattr(clusters, "fit_index", lambda *a: fitted)
+    monkeypatch.setattr(clusters, "post", lambda base, index, r, p, *a: vectors.post(base, index, 2, 2, *a))
+    found = lambda rows: clusters.density_peaks(vectors.valid_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "id bigint, v array<float>"), "id", "v", 64), 0.85, block_rows=block).collect()
+    whole = [(7, way(18)), (2, way(30)), (5, way(42)), (9, way(42)), (4, way(17)), (8, way(-60))]
+    out = found(whole)
+    assert {(r.cluster_id, r.id) for r in out if r.closed and r.size == 5} == {(2, i) for i in (2, 4, 5, 7, 9)} and len(out) == 5
+    s = np.stack([v for _, v in whole[:5]]) @ np.stack([v for _, v in whole[:5]]).T
+    assert np.allclose([r.closeness for r in sorted(out, key=lambda r: r.id)], s.mean(axis=1)[[1, 4, 2, 0, 3]], atol=1e-6)
+    out = found([*whole, (1, way(5))])  # near some of them only
+    assert not any(r.closed for r in out) and {r.id for r in out} == {1, 2, 4, 5, 7, 9}
+
+
 def test_empty(spark):
     base = vectors.valid_vectors(spark.createDataFrame([(1, None)], "id bigint, v array<float>"), "id", "v", 64)
     assert neighbours.nearest(base, 5, 0.85).count() == 0
