@@ -1,4 +1,4 @@
-"""Posting lists of vectors: a bounded fit, a centroid graph, and blocked joins inside the lists."""
+"""Posting lists of vectors: a bounded fit, an exact search of the lists, and blocked joins inside them."""
 
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ BLOCK_ROWS = 4096
 SPREAD = 0.6
 #: Lists beyond which a vector is stored in and searches one list more for every fourfold number of them.
 FIRST_LISTS = 4096
+#: Centroids in a group whose maximum tells whether it is looked at.
+GROUP = 64
 
 
 def valid_vectors(rows: DataFrame, row_id: str, vector: str, dim: int) -> DataFrame:
@@ -47,12 +49,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """Unit centroids, the layer above them, the links of both, the shards of each list, and residuals that divide lists."""
+    """Unit centroids, the shards of each list, and residuals that divide lists."""
 
     points: np.ndarray
-    top: np.ndarray
-    down: np.ndarray
-    links: np.ndarray
     shards: np.ndarray
     parts: np.ndarray
 
@@ -77,31 +76,29 @@ class Centroids:
             out_s[i : i + 256] = 1 - np.take_along_axis(far, best, 1) / 2
         return out_l, out_s
 
-    def search(self, x: np.ndarray, count: int, beam: int = 12, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         """For unit rows x the lists of the `count` most similar centroids, best first, and the similarities.
 
-        The few points of the upper layer are compared with every row; the walk goes on from the best of them along
-        the links, keeping `beam` centroids.
+        Every row is compared with every centroid. The best of a row stand in the `count` groups of centroids with the
+        largest maxima, so only those groups are put in order.
         """
-        out_l, out_s = [], []
-        for i in range(0, len(x), 1024):
-            q = x[i : i + 1024].astype(np.float32)
-            first = _best(q @ self.points[self.top].T, beam)
-            near = np.concatenate([self.top[first], self.down[first].reshape(len(q), -1)], axis=1)
-            near, sims = self._score(q, near, beam)
-            for _ in range(rounds):
-                near, sims = self._score(q, np.concatenate([near, self.links[near].reshape(len(q), -1)], axis=1), beam)
-            out_l.append(near[:, :count])
-            out_s.append(sims[:, :count])
+        k, groups = len(self.points), -(-len(self.points) // GROUP)
+        points = np.concatenate([self.points, np.zeros((groups * GROUP - k, self.points.shape[1]), dtype=np.float32)])
+        out_l, out_s = [np.zeros((0, count), dtype=np.int64)], [np.zeros((0, count), dtype=np.float32)]
+        step = max(16, 2**23 // len(points))
+        for i in range(0, len(x), step):
+            s = x[i : i + step].astype(np.float32) @ points.T
+            s[:, k:] = -2
+            if groups <= count:
+                near = _best(s[:, :k], count)
+            else:
+                first = np.argpartition(-s.reshape(len(s), GROUP, groups).max(axis=1), count - 1, axis=1)[:, :count]
+                near = (first[:, None, :] + groups * np.arange(GROUP)[:, None]).reshape(len(s), -1)
+                near = np.take_along_axis(near, _best(np.take_along_axis(s, near, 1), count), 1)
+            out_l.append(near)
+            out_s.append(np.take_along_axis(s, near, 1))
         return np.concatenate(out_l), np.concatenate(out_s)
 
-    def _score(self, q: np.ndarray, near: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        near = np.sort(near, axis=1)
-        sims = np.matmul(self.points[near], q[:, :, None])[:, :, 0]
-        sims[:, 1:][near[:, 1:] == near[:, :-1]] = -2
-        best = _best(sims, beam)
-        return np.take_along_axis(near, best, 1), np.take_along_axis(sims, best, 1)
-
 
 def _best(s: np.ndarray, n: int) -> np.ndarray:
     """Columns of the n largest of each row, largest first; fewer columns: all of them, the last repeated."""
@@ -185,12 +182,7 @@ def fit(sample: np.ndarray, rows: int, near: float, balance: bool, list_rows: in
                 size = np.bincount(own, minlength=len(parts))[:, None]
                 parts = np.where(size > 0, sums / np.maximum(size, 1), parts).astype(np.float32)
     shards = np.maximum(1, np.ceil(expected / len(parts) / block_rows)).astype(np.int64)
-    k = len(points)
-    degree = min(16, k)
-    links = np.concatenate([_best(points[i : i + 2048] @ points.T, degree) for i in range(0, k, 2048)])
-    top = np.arange(0, k, max(1, min(16, k // 8)))
-    down = np.concatenate([_best(points[top[i : i + 512]] @ points.T, min(32, k)) for i in range(0, len(top), 512)])
-    return Centroids(points, top, down, links, shards, parts)
+    return Centroids(points, shards, parts)
 
 
 def fit_index(base: DataFrame, near: float, balance: bool, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS, rows: int | None = None) -> Centroids:

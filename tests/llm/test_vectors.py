@@ -101,6 +101,19 @@ def test_second_level_of_lists():
     assert np.bincount(near[:, 0]).max() < 600
 
 
+@pytest.mark.parametrize("rows", [5, 200, 9000])
+def test_search_finds_the_nearest_lists(rows):
+    """Scattered centroids: the lists of a vector are those of the most similar ones, not of those that a walk comes upon."""
+    x = vectors.unit(np.random.default_rng(6).normal(size=(rows, 64))).astype("f4")
+    index = vectors.fit(x, rows, 0.85, False, list_rows=1)
+    q = vectors.unit(np.random.default_rng(7).normal(size=(300, 64)))
+    near, sims = index.search(q, 5)
+    s = q.astype("f4") @ index.points.T
+    best = np.sort(s, axis=1)[:, ::-1][:, :5]
+    assert near.shape == (300, 5) and np.allclose(sims, best, atol=1e-6)
+    assert np.allclose(np.take_along_axis(s, near, 1), sims, atol=1e-6)
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_clusters_across_lists(spark, monkeypatch, block):
     """Two lists; the outer members of a cluster stand in one of them each, so their pair is met in none."""
